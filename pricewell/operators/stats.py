@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.operators.series import by_date, difference
+from pricewell.plans.session import cut_lineage
 from pricewell.schema import SERIES_KEY
 
 # Fixed values (published): finite-sample critical values of the Dickey-Fuller test with
@@ -37,7 +38,9 @@ LJUNG_BOX_LAGS = (10, 20)
 
 # --- autocorrelation ---------------------------------------------------------------
 
-def autocovariances(panel: DataFrame, max_lag: int, key: list[str] = SERIES_KEY, column: str = "y") -> DataFrame:
+def autocovariances(
+    panel: DataFrame, max_lag: int, key: list[str] = SERIES_KEY, column: str = "y"
+) -> DataFrame:
     """``n``, ``mean`` and ``gamma``: the sums of products at lags 0..max_lag, over n."""
     w = by_date(key)
     x = panel.where(F.col(column).isNotNull()).select(
@@ -75,7 +78,7 @@ def autocorrelation(panel: DataFrame, max_lag: int = 40, key: list[str] = SERIES
     )
 
 
-def levinson(gamma: Column, order: int) -> Column:
+def levinson(gamma: Column, order: Column | int) -> Column:
     """Durbin-Levinson recursion as a fold over lags 1..order.
 
     Gives a struct of ``phi`` (coefficients of the last order), ``pacf`` and ``vars``
@@ -102,7 +105,8 @@ def levinson(gamma: Column, order: int) -> Column:
             F.concat(acc["vars"], F.array(last * (1 - kappa * kappa))).alias("vars"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(order)), start, step)
+    last_lag = F.lit(order) if isinstance(order, int) else order.cast("int")
+    return F.aggregate(F.sequence(F.lit(1), last_lag), start, step)
 
 
 def partial_autocorrelation(panel: DataFrame, max_lag: int = 40, key: list[str] = SERIES_KEY) -> DataFrame:
@@ -214,7 +218,7 @@ def _kpss_auto_lag(n: Column, gamma: Column) -> Column:
 
 
 def kpss_test(
-    panel: DataFrame, lags: int | None = None, key: list[str] = SERIES_KEY, most: int = 120
+    panel: DataFrame, lags: int | None = None, key: list[str] = SERIES_KEY, most: int = 64
 ) -> DataFrame:
     """KPSS test for level stationarity; ``lags=None`` picks the lag from the data.
 
@@ -234,12 +238,12 @@ def kpss_test(
     n = F.col("n").cast("double")
     chosen = F.lit(lags) if lags is not None else _kpss_auto_lag(n, F.col("gamma"))
     cov = cov.withColumn("kpss_lags", chosen)
-    longest = 0
     if lags is None:
-        # lags grow with the cube root of the length, so this is rare
+        cov = cut_lineage(cov)  # one row per series
+        # lags grow with the cube root of the length, so a second pass is rare
         longest = cov.agg(F.max("kpss_lags")).first()[0] or 0
-    if longest > prepared:
-        return kpss_test(panel, None, key, most=int(longest))
+        if longest > prepared:
+            return kpss_test(panel, None, key, most=int(longest))
     weights = F.transform(
         F.slice("gamma", 2, F.col("kpss_lags")),
         lambda g, i: g * (1 - (i + 1) / (F.col("kpss_lags") + 1)),
