@@ -123,19 +123,38 @@ FROM (SELECT commodity, state, acov.n, m, sd, {_lb(10)} AS q10, {_lb(20)} AS q20
 
 # --- ARIMA --------------------------------------------------------------------------
 _E = " - ".join(["w.y"] + [f"l.phi[{i}] * w.l{i}" for i in range(1, 11)])
-ARIMA_CTES = BASE + [
-    f"w AS (SELECT * FROM (SELECT commodity, state, date, y AS level, y - lag(y) {OVER} AS y FROM dense) WHERE y IS NOT NULL)",
-    _acov("w", 10, centred=False), _lev("10"),
-    f"wl AS (SELECT *, {', '.join(f'lag(y, {i}) {OVER} AS l{i}' for i in range(1, 11))} FROM w)",
-    f"er AS (SELECT w.commodity, w.state, w.date, w.y, {_E} AS e FROM wl w JOIN lev l ON l.k = 10 AND w.commodity = l.commodity AND w.state = l.state)",
-    f"""reg AS (SELECT commodity, state, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay,
-         sum(b * y) AS yb, sum(y * y) AS tt, count(*) AS m
-       FROM (SELECT commodity, state, y, lag(y) {OVER} AS a, lag(e) {OVER} AS b FROM er) WHERE b IS NOT NULL GROUP BY 1, 2)""",
-    """par AS (SELECT *, greatest(0, (tt - 2 * phi * ay - 2 * theta * yb + phi * phi * aa + 2 * phi * theta * ab + theta * theta * bb) / m) AS sigma2
-       FROM (SELECT *, greatest(-0.99, least(0.99, CASE WHEN flat THEN ay / nullif(aa, 0) ELSE (ay * bb - yb * ab) / det END)) AS phi,
-                    greatest(-0.99, least(0.99, CASE WHEN flat THEN 0 ELSE (yb * aa - ay * ab) / det END)) AS theta
-             FROM (SELECT *, aa * bb - ab * ab AS det, aa * bb - ab * ab <= aa * bb * 1e-10 AS flat FROM reg)))""",
-]
+def arima_ctes(src: str = "dense") -> list[str]:
+    """Fit of ARIMA(1,1,1) per (commodity, state) on the rows of ``src``."""
+    return [
+        f"w AS (SELECT * FROM (SELECT commodity, state, date, y AS level, y - lag(y) {OVER} AS y FROM {src}) WHERE y IS NOT NULL)",
+        _acov("w", 10, centred=False), _lev("10"),
+        f"wl AS (SELECT *, {', '.join(f'lag(y, {i}) {OVER} AS l{i}' for i in range(1, 11))} FROM w)",
+        f"er AS (SELECT w.commodity, w.state, w.date, w.y, {_E} AS e FROM wl w JOIN lev l ON l.k = 10 AND w.commodity = l.commodity AND w.state = l.state)",
+        f"""reg AS (SELECT commodity, state, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay,
+             sum(b * y) AS yb, sum(y * y) AS tt, count(*) AS m
+           FROM (SELECT commodity, state, y, lag(y) {OVER} AS a, lag(e) {OVER} AS b FROM er) WHERE b IS NOT NULL GROUP BY 1, 2)""",
+        """par AS (SELECT *, greatest(0, (tt - 2 * phi * ay - 2 * theta * yb + phi * phi * aa + 2 * phi * theta * ab + theta * theta * bb) / m) AS sigma2
+           FROM (SELECT *, greatest(-0.99, least(0.99, CASE WHEN flat THEN ay / nullif(aa, 0) ELSE (ay * bb - yb * ab) / det END)) AS phi,
+                        greatest(-0.99, least(0.99, CASE WHEN flat THEN 0 ELSE (yb * aa - ay * ab) / det END)) AS theta
+                 FROM (SELECT *, aa * bb - ab * ab AS det, aa * bb - ab * ab <= aa * bb * 1e-10 AS flat FROM reg)))""",
+    ]
+
+# where each series ends, for forecasting
+FIN = f"""fin AS (SELECT commodity, state, any_value(phi) AS phi, any_value(theta) AS theta, any_value(sigma2) AS sigma2,
+          max(date) AS last, arg_max(level, date) AS yn, arg_max(y, date) AS wn,
+          sum((y - phi * prev) * pow(-theta, back)) AS en
+        FROM (SELECT *, lag(y) {OVER} AS prev, row_number() OVER ({K} ORDER BY date DESC) - 1 AS back FROM w)
+        JOIN par USING (commodity, state) GROUP BY commodity, state)"""
+
+
+def arima_path(steps: int) -> str:
+    """Rows (commodity, state, h, date, f) of the point forecast."""
+    return f"""fc AS (SELECT commodity, state, h, last + CAST(h AS INT) AS date,
+      yn + (phi * wn + theta * en) * (1 - pow(phi, h)) / (1 - phi) AS f
+      FROM fin, (SELECT unnest(range(1, {steps + 1})) AS h))"""
+
+
+ARIMA_CTES = BASE + arima_ctes()
 add("arima_fit", lambda s, d: M.fit(panel(s, d)).select(
     *SERIES_KEY, "model", "n", F.round(F.col("phi")[0], 4).alias("phi"), F.round("theta", 4).alias("theta"),
     F.round("sigma2", 2).alias("sigma2"), F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic")), """
@@ -151,12 +170,7 @@ SELECT commodity, state, 'ARIMA(1,1,1)' AS model, CAST(h AS INT) AS step, last +
 FROM (SELECT *, yn + (phi * wn + theta * en) * (1 - pow(phi, h)) / (1 - phi) AS f,
         sqrt(sigma2 * sum(pow(1 + (phi + theta) * (1 - pow(phi, h - 1)) / (1 - phi), 2)) OVER (PARTITION BY commodity, state ORDER BY h)) AS sd
       FROM fin, (SELECT unnest(range(1, 31)) AS h))""",
-    ctes=ARIMA_CTES + [f"""
-fin AS (SELECT commodity, state, any_value(phi) AS phi, any_value(theta) AS theta, any_value(sigma2) AS sigma2,
-          max(date) AS last, arg_max(level, date) AS yn, arg_max(y, date) AS wn,
-          sum((y - phi * prev) * pow(-theta, back)) AS en
-        FROM (SELECT *, lag(y) {OVER} AS prev, row_number() OVER ({K} ORDER BY date DESC) - 1 AS back FROM w)
-        JOIN par USING (commodity, state) GROUP BY commodity, state)"""], recursive=True)
+    ctes=ARIMA_CTES + [FIN], recursive=True)
 _ORD = " UNION ALL ".join(
     [f"SELECT commodity, state, 'ARIMA({p},1,0)' AS model, n * (ln(2 * pi() * v) + 1) + {2 * (p + 1)} AS aic FROM lev WHERE k = {p}"
      for p in range(6)]
