@@ -118,6 +118,12 @@ def recent_history(panel: DataFrame, keep: int, key: list[str] = SERIES_KEY) ->
     )
 
 
+def _add_value(acc: Column, x: Column) -> Column:
+    n, step = acc["n"] + 1, x - acc["m"]
+    mean = acc["m"] + step / n
+    return F.struct(n.alias("n"), mean.alias("m"), (acc["q"] + step * (x - mean)).alias("q"))
+
+
 def next_row_features(
     history: Column | str,
     length: Column | str,
@@ -137,11 +143,15 @@ def next_row_features(
         out[f"lag_{k}"] = F.when(F.lit(k) < n, F.element_at(h, -k))
     for size in _clean(windows):
         part = F.slice(h, -size, size)
-        mean = F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / size
-        var = F.aggregate(part, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / size
+        # one pass for mean and deviation (Welford)
+        moments = F.aggregate(
+            part,
+            F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q")),
+            _add_value,
+        )
         fits = F.lit(size) <= n
-        out[f"roll_mean_{size}"] = F.when(fits, mean)
-        out[f"roll_std_{size}"] = F.when(fits, F.sqrt(var))
+        out[f"roll_mean_{size}"] = F.when(fits, moments["m"])
+        out[f"roll_std_{size}"] = F.when(fits, F.sqrt(moments["q"] / size))
         out[f"roll_min_{size}"] = F.when(fits, F.array_min(part))
         out[f"roll_max_{size}"] = F.when(fits, F.array_max(part))
     return out

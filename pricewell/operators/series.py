@@ -140,16 +140,18 @@ def last_rows(panel: DataFrame, n: int, key: list[str] = SERIES_KEY) -> DataFram
     return panel.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def split_train_test(frame: DataFrame, test_size: int = 90, key: list[str] = SERIES_KEY) -> DataFrame:
+def split_train_test(frame: DataFrame, test_size: int | str = 90, key: list[str] = SERIES_KEY) -> DataFrame:
     """Mark each row ``train`` or ``test`` by time.
 
     Series below 30 rows give a third (at least one row) to the test part, longer ones
-    ``test_size`` rows but never all.  A one-row series cannot be split: its ``part`` is NULL.
+    ``test_size`` rows (a number or a column) but never all.  A one-row series cannot be
+    split: its ``part`` is NULL.
     """
-    if test_size <= 0:
+    if isinstance(test_size, int) and test_size <= 0:
         raise ValueError("test_size must be positive")
+    asked = F.lit(test_size) if isinstance(test_size, int) else F.col(test_size)
     n = F.count("*").over(Window.partitionBy(*key))
-    size = F.when(n < 30, F.greatest(F.lit(1), F.floor(n / 3))).otherwise(F.least(F.lit(test_size), n - 1))
+    size = F.when(n < 30, F.greatest(F.lit(1), F.floor(n / 3))).otherwise(F.least(asked, n - 1))
     back = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("date")))
     return (
         frame.withColumn("_size", size).withColumn("_n", n).withColumn("_back", back)
