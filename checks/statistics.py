@@ -182,3 +182,4 @@ QUALIFY row_number() OVER (PARTITION BY commodity, state ORDER BY aic, model) =
     ctes=ARIMA_CTES + [f"cand AS ({_ORD})"], recursive=True)
 add("arima_residuals", lambda s, d: S.residual_diagnostics(
     M.residuals(panel(s, d), M.fit(panel(s, d)))))
+add("arima_auto_order", lambda s, d: M.auto_select(panel(s, d)).select(*SERIES_KEY, "model", "d", "aic", "bic"))

@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.operators.stats import levinson
+from pricewell.operators.stats import check_stationarity, levinson
+from pricewell.plans.session import cut_lineage
 from pricewell.schema import SERIES_KEY
 
 LONG_ORDER = 10
@@ -200,6 +201,15 @@ def select_order(panel: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> D
     return compare_orders(panel, d, key).where(F.col("rank") == 1).drop("rank")
 
 
+def auto_select(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
+    """As ``select_order``, with each series differenced as its stationarity tests suggest."""
+    verdict = cut_lineage(check_stationarity(panel, key).select(*key, "d"))
+    parts = [
+        select_order(panel.join(verdict.where(F.col("d") == d), key, "left_semi"), d, key) for d in (0, 1, 2)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def residuals(panel: DataFrame, params: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> DataFrame:
     """In-sample innovations of the fitted ARMA part as rows ``(key, step, date, resid)``."""
     arrays = _prepared(panel, d, key).select(*key, "w", "n", "last_date")

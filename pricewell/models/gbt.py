@@ -7,6 +7,7 @@ rolling mean a row has.  Short series leave features empty; those stand at the l
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -128,9 +129,10 @@ def forecast(
     Every step is a narrow projection over one row per series; the plan is cut by a
     checkpoint every few steps.
     """
-    state = cut_lineage(
-        recent_history(panel, KEEP, key).withColumn("path", F.array().cast("array<double>"))
-    )
+    # few rows but much work per row: keep the full width after the grouping
+    width = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = recent_history(panel, KEEP, key).withColumn("path", F.array().cast("array<double>"))
+    state = cut_lineage(state.repartition(width, *key))
     carried = [*key, "last_date", "length", "history", "path"]
     for step in range(1, steps + 1):
         rows = _with_next_features(state, F.date_add("last_date", step), carried)
@@ -165,8 +167,6 @@ def forecast_direct(
     key: list[str] = SERIES_KEY,
 ) -> DataFrame:
     """One model per horizon instead of feeding forecasts back."""
-    from functools import reduce
-
     state = recent_history(panel, KEEP, key)
     parts = []
     for h in horizons:

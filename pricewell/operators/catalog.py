@@ -105,8 +105,9 @@ def overview(prices: DataFrame, digits: int | None = 2) -> DataFrame:
     middle = aggregate_with_percentiles(prices, [], PRICE, {"_median": 0.5}).select(
         rounded(F.col("_median"), digits).alias("median_modal_price")
     )
-    # both sides are one row
-    return facts.withColumn("_j", F.lit(0)).join(middle.withColumn("_j", F.lit(0)), "_j", "left").drop("_j")
+    # two one-row results side by side, without a join
+    both = facts.unionByName(middle, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def list_crops(prices: DataFrame, min_records: int = 100, digits: int | None = 2) -> DataFrame:
