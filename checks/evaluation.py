@@ -13,6 +13,7 @@ from pricewell.operators import drift as D
 from pricewell.operators import evaluate as V
 from pricewell.operators import series as W
 from pricewell.operators.advisory import crop_advisory
+from pricewell.plans.sizing import stacked
 from pricewell.schema import SERIES_KEY
 
 
@@ -46,8 +47,8 @@ FROM pairs GROUP BY commodity, state""", ctes=HOLD, recursive=True)
 def _wide(s, d):
     p = panel(s, d)
     walk = M.fit_autoregressions(p).where("model = 'ARIMA(0,1,0)'")
-    both = M.forecast(M.fit(p), 30, None).withColumn("model", F.lit("arima")).unionByName(
-        M.forecast(walk, 30, None).withColumn("model", F.lit("last")))
+    both = stacked([M.forecast(M.fit(p), 30, None).withColumn("model", F.lit("arima")),
+                    M.forecast(walk, 30, None).withColumn("model", F.lit("last"))], SERIES_KEY)
     return _round(J.side_by_side(both, ["arima", "last"]), arima_forecast=2, last_forecast=2)
 
 

@@ -9,6 +9,7 @@ from checks.registry import add
 from pricewell.models import arima as M
 from pricewell.operators import series as W
 from pricewell.operators import stats as S
+from pricewell.plans.session import cut_lineage
 from pricewell.schema import SERIES_KEY
 
 K = "PARTITION BY commodity, state"
@@ -182,4 +183,4 @@ QUALIFY row_number() OVER (PARTITION BY commodity, state ORDER BY aic, model) =
     ctes=ARIMA_CTES + [f"cand AS ({_ORD})"], recursive=True)
 add("arima_residuals", lambda s, d: S.residual_diagnostics(
     M.residuals(panel(s, d), M.fit(panel(s, d)))))
-add("arima_auto_order", lambda s, d: M.auto_select(panel(s, d)).select(*SERIES_KEY, "model", "d", "aic", "bic"))
+add("arima_auto_order", lambda s, d: M.auto_select(cut_lineage(panel(s, d))).select(*SERIES_KEY, "model", "d", "aic", "bic"))

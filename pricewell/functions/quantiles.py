@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.plans.session import cut_lineage
-from pricewell.plans.sizing import broadcast_if_small
+from pricewell.plans.sizing import broadcast_if_small, stacked
 
 MAX_GROUP_ROWS = 5_000_000
 BANDS_PER_E_FOLD = 4096
@@ -57,7 +57,7 @@ def aggregate_with_percentiles(
             *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(n) for n in probs]
         )
         hot_part = plain.join(renamed, match, "inner").select(*plain.columns, *probs)
-    return cold_part.unionByName(hot_part)
+    return stacked([cold_part, hot_part], keys)
 
 
 def _same_keys(keys: list[str]) -> Column:

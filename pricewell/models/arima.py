@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pricewell.operators.stats import check_stationarity, levinson
 from pricewell.plans.session import cut_lineage
+from pricewell.plans.sizing import stacked
 from pricewell.schema import SERIES_KEY
 
 LONG_ORDER = 10
@@ -192,7 +193,7 @@ def fit_autoregressions(panel: DataFrame, d: int = 1, key: list[str] = SERIES_KE
 def compare_orders(panel: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> DataFrame:
     """All candidates of every series with their ``rank`` by AIC (best is 1)."""
     ranks = Window.partitionBy(*key).orderBy(F.asc_nulls_last("aic"), "model")
-    both = fit(panel, d, key).unionByName(fit_autoregressions(panel, d, key))
+    both = stacked([fit(panel, d, key), fit_autoregressions(panel, d, key)], key)
     return both.withColumn("rank", F.row_number().over(ranks))
 
 
@@ -207,7 +208,7 @@ def auto_select(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
     parts = [
         select_order(panel.join(verdict.where(F.col("d") == d), key, "left_semi"), d, key) for d in (0, 1, 2)
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stacked(parts, key)
 
 
 def residuals(panel: DataFrame, params: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricewell.models import arima, gbt, sequence
 from pricewell.operators.align import actual_with_forecast, side_by_side
 from pricewell.operators.evaluate import metrics
+from pricewell.plans.sizing import stacked
 from pricewell.schema import SERIES_KEY
 
 COMPONENTS = ["arima", "gbt", "seq"]
@@ -44,10 +45,7 @@ def component_forecasts(
         gbt.forecast(models.gbt, panel, steps, digits, key),
         sequence.forecast(models.seq, panel, steps, digits, key),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    return stacked(parts, key)
 
 
 def validation_size(n: Column, most: int = MAX_VALIDATION) -> Column:

@@ -7,7 +7,6 @@ rolling mean a row has.  Short series leave features empty; those stand at the l
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -20,6 +19,7 @@ from pricewell.operators.features import (
 )
 from pricewell.operators.series import split_train_test
 from pricewell.plans.session import cut_lineage
+from pricewell.plans.sizing import stacked
 from pricewell.schema import SERIES_KEY
 
 PRICE_FEATURES = lag_names(LAGS) + roll_names(WINDOWS)
@@ -179,7 +179,7 @@ def forecast_direct(
                 (F.col("prediction") * F.col("_level")).alias("forecast"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(parts, key)
 
 
 def explain_next_step(

@@ -11,6 +11,7 @@ from pricewell.operators.drift import drift_report
 from pricewell.operators.evaluate import test_sizes, walk_forward_cv
 from pricewell.operators.series import crop_series, densify
 from pricewell.plans.session import cut_lineage
+from pricewell.plans.sizing import stacked
 from pricewell.schema import SERIES_KEY
 from pricewell.sources.sinks import save_forecast
 
@@ -71,7 +72,7 @@ def retrain(
     )
     forecasts = cut_lineage(ensemble.component_forecasts(models, panel, steps))
     combined = ensemble.combine(forecasts, weights)
-    save_forecast(forecasts.unionByName(combined, allowMissingColumns=True), log_path)
+    save_forecast(stacked([forecasts, combined], SERIES_KEY), log_path)
     return {
         "series": panel.groupBy(*SERIES_KEY).agg(F.count("*").alias("series_points")),
         "drift": drift_report(panel),

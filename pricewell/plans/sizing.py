@@ -13,9 +13,16 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS
     return F.broadcast(df) if rows <= limit else df
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
-    """Join condition that also matches NULL keys, as GROUP BY does."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def stacked(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Union of frames, shuffled by ``keys`` once.
+
+    Spark may take a union of frames that are each partitioned by a key as partitioned
+    by it, while adaptive execution merges the partitions of each side differently; a
+    window or join on the key then saw a series in two tasks.  The explicit shuffle of
+    these small frames rules that out.
+    """
+    out = frames[0]
+    for other in frames[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    width = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(width, *keys)
