@@ -204,9 +204,10 @@ def select_order(panel: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> D
 
 def auto_select(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
     """As ``select_order``, with each series differenced as its stationarity tests suggest."""
-    verdict = cut_lineage(check_stationarity(panel, key).select(*key, "d"))
+    verdict = check_stationarity(panel, key).select(*key, F.col("d").alias("_d"))
+    tagged = cut_lineage(panel.join(verdict, key))
     parts = [
-        select_order(panel.join(verdict.where(F.col("d") == d), key, "left_semi"), d, key) for d in (0, 1, 2)
+        cut_lineage(select_order(tagged.where(F.col("_d") == d).drop("_d"), d, key)) for d in (0, 1, 2)
     ]
     return stacked(parts, key)
 

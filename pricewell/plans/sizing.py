@@ -16,10 +16,8 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS
 def stacked(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Union of frames, shuffled by ``keys`` once.
 
-    Spark may take a union of frames that are each partitioned by a key as partitioned
-    by it, while adaptive execution merges the partitions of each side differently; a
-    window or join on the key then saw a series in two tasks.  The explicit shuffle of
-    these small frames rules that out.
+    A later window or join on the key then does not depend on how each side of the union
+    happened to be partitioned.  The frames are small: rows per series, not raw rows.
     """
     out = frames[0]
     for other in frames[1:]:
