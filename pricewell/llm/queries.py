@@ -7,7 +7,9 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewell.llm import line_dedup, sharding, simhash_gray, url_cascade
+from pricewell.llm import (
+    decontaminate, language_id, line_dedup, mixing, sharding, simhash_gray, token_blocks, url_cascade,
+)
 from pricewell.plans.session import use_local_folder
 
 QUERIES: dict = {}
@@ -134,3 +136,58 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gray.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, limit=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def held_out(doc_id):
+    """The fold that language models never learn from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_id.fit(documents.filter(~held_out(F.col("doc_id"))))
+    return language_id.predict(documents, model, keep=[F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")])
+
+
+@query("op6_token_blocks")
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_blocks.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+MIX_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+sources AS (
+  SELECT source, size::BIGINT AS size, n, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM (SELECT source, sum(size) AS size, count(*) AS n FROM sized GROUP BY source)),
+filled AS (
+  SELECT *, (1.5::DOUBLE * sum(size) OVER () - coalesce(sum(2 * size) OVER before, 0)) / (sum(w) OVER onwards) AS rate
+  FROM sources
+  WINDOW before AS (ORDER BY 2 * size / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         onwards AS (ORDER BY 2 * size / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+level AS (
+  SELECT arg_min(rate, 2 * size / w::DOUBLE) AS rate FROM filled WHERE rate * w <= 2 * size),
+goals AS (
+  SELECT source, size, CASE WHEN f.rate * w <= 2 * size THEN l.rate * w ELSE (2 * size)::DOUBLE END AS target
+  FROM filled f, level l),
+placed AS (
+  SELECT s.doc_id, s.size, g.size AS source_size, g.target, floor(g.target + 0.5)::BIGINT AS take,
+         (sum(s.size) OVER (PARTITION BY s.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS b
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+  (take // source_size) * size + greatest(0, least(b + size, take % source_size) - b) END::BIGINT AS taken
+FROM placed"""
+
+
+@query("op10_source_mix", MIX_SQL)
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
