@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+from pricewell.plans.session import use_local_folder
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -23,7 +27,13 @@ def add(name, fn, sql: str | None = None, ctes: list[str] | None = None, recursi
     """Register ``fn(spark, sf_dir)``; ``sql`` may use ``prices`` and the given CTEs."""
     if name in QUERIES:
         raise ValueError(f"{name} registered twice")
-    QUERIES[name] = fn
+
+    @functools.wraps(fn)
+    def query(spark, sf_dir):
+        use_local_folder(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[name] = query
     if sql is not None:
         head = "WITH RECURSIVE " if recursive else "WITH "
         SQL[name] = head + ",\n".join([PRICES] + (ctes or [])) + "\n" + sql

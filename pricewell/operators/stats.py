@@ -8,16 +8,14 @@ Only the Dickey-Fuller lag search runs numpy inside grouped tasks.
 from __future__ import annotations
 
 import math
-import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.operators.series import by_date, difference
-from pricewell.plans.session import cut_lineage
+from pricewell.plans.session import cut_lineage, ship_package
 from pricewell.schema import SERIES_KEY
 
 # Fixed values (published): finite-sample critical values of the Dickey-Fuller test with
@@ -181,8 +179,7 @@ def _adf_one(y: np.ndarray) -> tuple[float, int, int]:
 def adf_test(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant, one row per series."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.select(*key).schema)
-    # ship the functions themselves, so that workers need not have this package
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    ship_package(panel.sparkSession)
     out = f"{fields}, adf_stat double, adf_lags int, adf_obs int, adf_p double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,24 +27,43 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "pr
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_local_folder(spark)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only when neither the setting nor a checkpoint folder exists (local tests) is
-    a new temporary folder made.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = sc.getCheckpointDir()
+        if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="pricewell-")
-    if not sc.getCheckpointDir():
+    elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir() if spark.conf.get("spark.checkpoint.dir", None) is None else folder
+    return folder
+
+
+def use_local_folder(spark: SparkSession) -> None:
+    """For tests and checks in local mode: set a temporary checkpoint folder where none is set."""
+    sc = spark.sparkContext
+    unset = spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None
+    if unset and sc.master.startswith("local["):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pricewell-"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pricewell_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="pricewell-"))) / "pricewell.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for module in sorted(root.rglob("*.py")):
+            out.write(module, module.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._pricewell_shipped = True
 
 
 def new_path(spark: SparkSession, label: str) -> str:
