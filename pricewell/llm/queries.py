@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.llm import (
-    decontaminate, language_id, line_dedup, mixing, sharding, simhash_gray, token_blocks, url_cascade,
+    ann_tree, decontaminate, language_id, line_dedup, mixing, sharding, simhash_gray, surrogates, token_blocks,
+    url_cascade,
 )
 from pricewell.plans.session import use_local_folder
 
@@ -191,3 +192,17 @@ FROM placed"""
 @query("op10_source_mix", MIX_SQL)
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op1_ann_tree")
+def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ann_tree.build_index(vectors, k=5)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann_tree.nearest(index, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op7_surrogates")
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents"), key="surrogates of the test tables")
