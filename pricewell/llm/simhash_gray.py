@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pricewell.plans.session import ship_package
 
 SEED = 42
 #: Entries per group aimed at, and the most groups (the upper nodes of all groups go to every task).
-GROUP_ENTRIES = 4096
+GROUP_ENTRIES = 16384
 MAX_GROUPS = 16384
 LEAF = 32
 FAN = 8
@@ -200,6 +201,7 @@ def links(entries: DataFrame, limit: int = 2) -> DataFrame:
     tree = GrayTree(*(np.array([r[c] for r in shared], dtype=np.int64).view(np.uint64) for c in ("ones", "zeros")))
 
     def route(batches):
+        """Fingerprints for each group, packed: a row holds all that a part of a batch sends to one group."""
         for batch in batches:
             fp, rank = (np.asarray(batch.column(i)) for i in (0, 1))
             home = group_of(rank)
@@ -208,17 +210,27 @@ def links(entries: DataFrame, limit: int = 2) -> DataFrame:
                 who, node = tree.reach(part.view(np.uint64), limit)
                 to, own = names[node], home[low : low + 4096][who]
                 go = to >= own
+                who, to, own = who[go], to[go], (to == own)[go]
+                order = np.lexsort((own, to))
+                who, to, own = who[order], to[order], own[order]
+                cuts_ = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (own[1:] != own[:-1])]) if len(to) else []
+                ends = pa.array(np.append(cuts_, len(to)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[go]), pa.array(part[who[go]]), pa.array(to[go] == own[go])], ["grp", "fp", "own"]
+                    [pa.array(to[cuts_]), pa.array(own[cuts_]), pa.ListArray.from_arrays(ends, pa.array(part[who]))],
+                    ["grp", "own", "fps"],
                 )
 
     def search(group: pa.Table) -> pa.Table:
-        fp = group.column("fp").to_numpy().view(np.uint64)
-        own = group.column("own").to_numpy()
-        a, b = least_reached(close_pairs(fp[own], fp[~own], limit), np.unique(fp))
+        def unpacked(own: bool) -> np.ndarray:
+            lists = group.filter(pc.equal(group.column("own"), own)).column("fps")
+            return pc.list_flatten(lists).to_numpy().view(np.uint64)
+
+        own, visitors = unpacked(True), unpacked(False)
+        entries = np.unique(np.concatenate([own, visitors]))
+        a, b = least_reached(close_pairs(own, visitors, limit), entries)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    routed = ranked.mapInArrow(route, "grp long, fp long, own boolean")
+    routed = ranked.mapInArrow(route, "grp long, own boolean, fps array<long>")
     return routed.groupBy("grp").applyInArrow(search, "a long, b long")
 
 
