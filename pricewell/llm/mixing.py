@@ -8,7 +8,7 @@ shares.  The sequence ends when each source has its blocks; the last one is cut
 taken are the targets rounded, and no source goes round more than ``most`` times.
 
 A source may hold a third of all rows, so no task owns one: places on the ring are prefix sums over hash ranges
-of about 50,000 documents, ranks are prefix sums over chunks of 65,536 slots, and documents meet slots on
+of about 4,000 documents, ranks are prefix sums over chunks of 65,536 slots, and documents meet slots on
 (source, block).  Only the sources' totals go to the driver; more than ``MAX_SOURCES`` is an error.
 
 Defined cases: null text has size 0; documents of size 0 take 0; the null source comes last; equal hashes
@@ -31,7 +31,7 @@ from pricewell.plans.session import ship_package
 #: The golden ratio's fraction in 64-bit fixed point.
 GOLDEN = np.uint64(11400714819323198485)
 CHUNK = 1 << 16
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 MAX_SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
 
