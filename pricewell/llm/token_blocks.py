@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -200,42 +201,49 @@ class BlockFile:
             before = end
 
 
-class WordEncoder:
-    """Ids of texts as little-endian bytes, with a memory of two generations of words."""
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes as: printable ones as they are, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __init__(self, vocabulary: str, end_id: int, remember: int = 200_000):
+
+class WordEncoder(dict):
+    """Ids (little-endian bytes) of white-space separated words; words met lately are remembered.
+
+    A word of plain Latin letters with closing punctuation is two pieces to this tokenizer, lower case
+    letters and the rest, which go to its model at once; any other word takes the whole tokenizer.
+    """
+
+    def __init__(self, vocabulary: str, end_id: int, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model = self.tokenizer.model
         self.end, self.remember = np.array([end_id], "<u4").tobytes(), remember
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.young) > self.remember:
-            self.old, self.young = self.young, {}
-        for low in range(0, len(words), 2000):
-            part = words[low : low + 2000]
-            for word, coded in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.young[word] = np.array(coded.ids, "<u4").tobytes()
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            stem = word.rstrip(".,;:!?")
+            small = stem.lower()
+            if not (stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem):
+                found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            elif word == small:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+            else:
+                found = self[small] + (self[word[len(stem):]] if len(stem) < len(word) else b"")
+        self[word] = found
+        return found
 
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        young, old = self.young, self.old
-        unknown = []
-        for word in set(words):
-            if word not in young:
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    unknown.append(word)
-        if unknown:
-            found = {w: young[w] for w in set(words) if w in young}
-            self._learn(unknown)
-            if self.young is not young:
-                self.young.update(found)
-            young = self.young
-        return b"".join(map(young.__getitem__, words)) + self.end
+        if len(self) > self.remember:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))) + self.end
 
 
 _encoders: dict[tuple[int, int], WordEncoder] = {}
