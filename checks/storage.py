@@ -50,7 +50,7 @@ add("read_year_files", lambda s, d: _counts(P.open_prices(s, "auto", files=_file
 
 
 def _view(s, d):
-    C.register_prices(P.open_prices(s, "tree", tree=_tree(s, d), years=(1995, 2001)))
+    C.register_prices(P.open_prices(s, "tree", tree=_tree(s, d)))
     return C.query(s, "SELECT state, count(*) AS records FROM prices GROUP BY state")
 
 

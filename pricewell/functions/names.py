@@ -33,8 +33,8 @@ def with_normal_names(df: DataFrame, *names: str) -> DataFrame:
 
 
 def match_name(df: DataFrame, column: str, text: str | None) -> DataFrame:
-    """Keep rows whose (ingest-normalised) name equals ``text``; no text keeps all."""
-    return df if text is None else df.where(F.col(column) == F.lit(text))
+    """Keep rows whose (ingest-normalised) name equals ``text``, as given or normalised; no text keeps all."""
+    return df if text is None else df.where(F.col(column).isin(sorted({text, normalise_text(text)})))
 
 
 def match_loosely(df: DataFrame, crop: str, state: str, crop_column: str = "crop") -> DataFrame:
@@ -45,11 +45,12 @@ def match_loosely(df: DataFrame, crop: str, state: str, crop_column: str = "crop
     )
 
 
-def miss_report(df: DataFrame, crop: str, crop_column: str = "crop", max_states: int = 100) -> dict[str, DataFrame]:
-    """What to look at when a crop was not found: row count, crop names, first states."""
+def miss_report(df: DataFrame, crop: str, crop_column: str = "crop", max_states: int | None = None) -> dict[str, DataFrame]:
+    """What to look at when a crop was not found: row count, crop names, states (the first ``max_states``)."""
     near = df.where(F.lower(crop_column).contains(crop.lower()))
+    states = near.select("state").distinct().orderBy(F.asc_nulls_last("state"))
     return {
         "rows": near.agg(F.count("*").alias("matching_rows")),
         "crops": near.select(crop_column).distinct().orderBy(crop_column),
-        "states": near.select("state").distinct().orderBy(F.asc_nulls_last("state")).limit(max_states),
+        "states": states if max_states is None else states.limit(max_states),
     }

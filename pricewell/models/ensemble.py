@@ -101,9 +101,19 @@ def combine(
         *[F.coalesce(F.max(F.when(F.col("model") == m, F.col("weight"))), F.lit(0.0)).alias(f"_w_{m}")
           for m in components]
     )
-    total = sum((F.col(f"{m}_forecast") * F.col(f"_w_{m}") for m in components[1:]),
-                F.col(f"{components[0]}_forecast") * F.col(f"_w_{components[0]}"))
-    return wide.join(factors, key).select(
+    # A missing component gives its weight to the others; a series without weights weighs all alike.
+    known = sum((F.col(f"_w_{m}") for m in components[1:]), F.col(f"_w_{components[0]}"))
+    there = {m: F.col(f"{m}_forecast").isNotNull().cast("double") for m in components}
+    left = sum((F.col(f"_w_{m}") * there[m] for m in components), F.lit(0.0))
+    parts = sum(there.values(), F.lit(0.0))
+    weight = {
+        m: F.when(left > 0, F.col(f"_w_{m}") * (known / left)).otherwise(F.try_divide(F.lit(1.0), parts))
+        for m in components
+    }
+    share = [F.when(F.col(f"{m}_forecast").isNotNull(), F.col(f"{m}_forecast") * weight[m]).otherwise(0.0)
+             for m in components]
+    total = F.when(parts > 0, sum(share[1:], share[0]))
+    return wide.join(factors, key, "left").select(
         *key, "date", (total if digits is None else F.round(total, digits)).alias("forecast"),
         F.lit("ensemble").alias("model"), *[f"{m}_forecast" for m in components],
     )

@@ -55,18 +55,24 @@ def open_prices(
     source: str = "auto",
     tree: str | None = None,
     files: str | None = None,
-    years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR),
+    years: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """``files`` reads yearly files, ``tree`` the partitioned tree; ``auto`` prefers files."""
+    """``files`` reads yearly files, ``tree`` the partitioned tree; ``auto`` prefers files.
+
+    Without ``years`` the whole tree is read; yearly files need a range.
+    """
     if source not in {"auto", "files", "tree"}:
         raise ValueError("source must be 'auto', 'files' or 'tree'")
     if source == "files" or (source == "auto" and files):
         if not files:
             raise ValueError("no location of the yearly files given")
+        if years is None:
+            raise ValueError("yearly files need a range of years")
         return read_year_files(spark, files, *years)
     if not tree:
         raise ValueError("no location of the price tree given")
-    return read_tree(spark, tree).where(F.col("year").between(*years))
+    prices = read_tree(spark, tree)
+    return prices if years is None else prices.where(F.col("year").between(*years))
 
 
 def clean_records(raw: DataFrame) -> DataFrame:
@@ -88,12 +94,13 @@ def write_tree(prices: DataFrame, root: str, mode: str = "overwrite", sort_by: I
 
     Rows are ranged by year, then by names and date, so every task writes few files, a
     year or a crop that holds much of the data is spread over many tasks, and a filter on
-    a name skips most row groups.
+    a name skips most row groups.  ``overwrite`` replaces the years that are present in
+    ``prices`` and leaves others as they are.
     """
     order = list(sort_by or ("year", "commodity", "state", "arrival_date", "market"))
     (
         prices.repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.mode(mode).partitionBy("year").parquet(root)
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(root)
     )
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pricewell.functions.names import match_name
 from pricewell.models import arima, ensemble, gbt, registry, sequence
 from pricewell.operators.align import side_by_side
 from pricewell.plans.session import new_path
@@ -140,3 +141,27 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_second_ingest_keeps_other_years(spark):
+    root = new_path(spark, "two-batches")
+    for year in (1996, 2031):
+        raw = new_path(spark, "batch")
+        spark.sql(f"""SELECT 'S' AS state, 'D' AS district, 'M' AS market, 'Green  Chilli' AS commodity, 'V' AS variety,
+            'G' AS grade, DATE'{year}-02-03' AS arrival_date, 1.0D AS min_price, 3.0D AS max_price, 2.0D AS modal_price
+            """).write.json(raw)
+        P.ingest(spark, raw, root)
+    rows = P.open_prices(spark, "tree", tree=root)
+    assert sorted(r["year"] for r in rows.collect()) == [1996, 2031]
+    assert match_name(rows, "commodity", " green   chilli").count() == 2
+    assert P.open_prices(spark, "tree", tree=root, years=(2000, 2040)).count() == 1
+
+
+def test_ensemble_goes_on_without_a_component(spark):
+    forecasts = spark.sql("""SELECT c AS commodity, 'S' AS state, DATE'2024-01-01' AS date, m AS model, f AS forecast
+        FROM VALUES ('A', 'arima', 10.0D), ('A', 'xgb', 20.0D), ('B', 'arima', 4.0D), ('C', 'arima', 2.0D), ('C', 'xgb', 4.0D)
+        AS t(c, m, f)""")
+    weights = spark.sql("""SELECT c AS commodity, 'S' AS state, m AS model, w AS weight FROM VALUES
+        ('A', 'arima', 0.25D), ('A', 'xgb', 0.75D), ('B', 'arima', 0.5D), ('B', 'xgb', 0.5D) AS t(c, m, w)""")
+    got = ensemble.combine(forecasts, weights, components=["arima", "xgb"]).collect()
+    assert {r["commodity"]: r["forecast"] for r in got} == {"A": 17.5, "B": 4.0, "C": 3.0}
