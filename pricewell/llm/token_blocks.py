@@ -24,6 +24,7 @@ texts pass through in blocks; other columns are not read.
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from array import array
@@ -41,7 +42,7 @@ BLOCK = 512
 ROWS = BLOCK // 64
 AT_ONCE = 256  # blocks encoded or decoded together
 MAGIC = b"PFB1"
-HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
+HEAD = struct.Struct("<IBH")  # least, width, exceptions
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,38 +84,35 @@ def encode_blocks(ids: np.ndarray, percentile: float = 0.9) -> list[bytes]:
         words = pack(low[own].reshape(-1, 64), int(width)).reshape(len(own), ROWS * int(width))
         for i, row in zip(own.tolist(), words):
             packed[i] = row.tobytes()
-    heads = np.empty(len(blocks), dtype=HEAD)
-    heads["least"], heads["width"], heads["exceptions"] = least, widths, np.count_nonzero(high, axis=1)
+    block, place = np.nonzero(high)
+    rest = high[block, place].astype("<u4")
+    place = place.astype("<u2")
+    ends = np.searchsorted(block, np.arange(len(blocks) + 1)).tolist()
     out = []
-    for i, row in enumerate(packed):
-        parts = [heads[i].tobytes(), row]
-        if heads["exceptions"][i]:
-            at = np.flatnonzero(high[i])
-            parts += [at.astype("<u2").tobytes(), high[i][at].astype("<u4").tobytes()]
-        out.append(b"".join(parts))
+    for i, (row, least_, width) in enumerate(zip(packed, least.tolist(), widths.tolist())):
+        a, b = ends[i], ends[i + 1]
+        out.append(HEAD.pack(least_, width, b - a) + row + place[a:b].tobytes() + rest[a:b].tobytes())
     return out
 
 
 def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """All ids of the blocks that begin at ``starts`` in ``data``."""
-    heads = [np.frombuffer(data, HEAD, 1, int(s))[0] for s in starts]
-    widths = np.array([h["width"] for h in heads])
-    values = np.empty((len(starts), ROWS, 64), dtype=np.uint64)
-    for width in np.unique(widths):
+    starts = np.asarray(starts).tolist()
+    heads = [HEAD.unpack_from(data, s) for s in starts]
+    widths = np.array([h[1] for h in heads])
+    values = np.zeros((len(starts), ROWS, 64), dtype=np.uint64)
+    for width in np.unique(widths[widths > 0]).tolist():
         own = np.flatnonzero(widths == width)
-        if width == 0:
-            values[own] = 0
-            continue
-        words = np.array([np.frombuffer(data, "<u8", ROWS * int(width), int(starts[i]) + HEAD.itemsize) for i in own])
-        values[own] = unpack(words.reshape(-1, int(width)), int(width)).reshape(len(own), ROWS, 64)
+        words = np.array([np.frombuffer(data, "<u8", ROWS * width, starts[i] + HEAD.size) for i in own.tolist()])
+        values[own] = unpack(words.reshape(-1, width), width).reshape(len(own), ROWS, 64)
     values = values.reshape(len(starts), BLOCK)
-    for i, head in enumerate(heads):
-        if count := int(head["exceptions"]):
-            at = int(starts[i]) + HEAD.itemsize + 8 * ROWS * int(head["width"])
+    for i, (_, width, count) in enumerate(heads):
+        if count:
+            at = starts[i] + HEAD.size + 8 * ROWS * width
             places = np.frombuffer(data, "<u2", count, at)
             highs = np.frombuffer(data, "<u4", count, at + 2 * count).astype(np.uint64)
-            values[i, places] |= highs << np.uint64(head["width"])
-        values[i] += np.uint64(head["least"])
+            values[i, places] |= highs << np.uint64(width)
+    values += np.array([h[0] for h in heads], dtype=np.uint64)[:, None]
     return values.ravel().astype("<u4")
 
 
@@ -215,7 +213,7 @@ class WordEncoder(dict):
     letters and the rest, which go to its model at once; any other word takes the whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, end_id: int, remember: int = 400_000):
+    def __init__(self, vocabulary: str, end_id: int, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
