@@ -8,9 +8,10 @@ the true neighbours are found among all rows, and visits are widened until the l
 ``recall`` of them.
 
 Equal vectors are indexed once with their smallest ids, as many as any answer can need; so however often a
-vector repeats, its leaf holds it once.  Leaves and their searches are split into blocks by their
-counts, and a task scores one block of rows against one block of searches.  Only the tree, one count per
-leaf and the calibration's few neighbours go to the driver.
+vector repeats, its leaf holds it once.  Leaves lie one behind the other in bins of at most ``BIN_ROWS`` rows; a
+large leaf spans several.  A search goes once to each bin that holds some of its leaves, with their list, so
+rows sent and found grow with searches and bins, not with leaves visited.  A task scores one bin against
+one block of searches.  Only the tree, one count per leaf and the calibration's few neighbours go to the driver.
 
 Scores are cosines of the original vectors in double precision; within a block, products find the
 candidates and each one near the k-th best is scored again in a fixed order of operations, so that
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.llm.text import stored
@@ -39,8 +40,11 @@ SAMPLE_BYTES = 16_000_000
 MAX_LEAVES = 4096
 CALIBRATION = 200
 FAN = 8
-BLOCK_ROWS = 20_000
+#: Rows per bin at most, and bins at least, so that a small index is searched by several tasks too.
+BIN_ROWS = 20_000
+LEAST_BINS = 16
 BLOCK_SEARCHES = 2_000
+AT_ONCE = 256  # searches scored together in a task
 
 
 def matrix(column) -> np.ndarray:
@@ -229,20 +233,29 @@ def _calibrated(index: Index, recall: float) -> int:
 
 
 def _scored(rows: pa.Table, searches: pa.Table, k: int) -> pa.Table:
-    """The best k + 1 ids of this block for each search of this block."""
+    """The best k + 1 ids in this bin for each search of this block, in the leaves that it visits."""
+    rows = rows.sort_by("leaf")
     v, asked = matrix(rows.column("v")), matrix(searches.column("v"))
-    ids = rows.column("ids").to_pylist()
-    near = unit(asked) @ unit(v).T
-    keep = min(k + 1, len(v))
+    ids, names = rows.column("ids").to_pylist(), searches.column("search").to_pylist()
+    leaves, first = np.unique(rows.column("leaf").to_numpy(), return_index=True)
+    bounds = [*zip(first.tolist(), [*first[1:].tolist(), len(v)])]
+    visits = searches.column("leaves").to_pylist()
     norm_v, norm_q = np.sqrt((v * v).sum(axis=1)), np.sqrt((asked * asked).sum(axis=1))
+    unit_v, unit_q = v / norm_v[:, None], asked / norm_q[:, None]
     out: list[tuple] = []
-    for q, name in enumerate(searches.column("search").to_pylist()):
-        line = near[q]
-        least = np.partition(line, len(v) - keep)[len(v) - keep] - 1e-9
-        own = np.flatnonzero(line >= least)
-        exact = (v[own] * asked[q]).sum(axis=1) / (norm_v[own] * norm_q[q])
-        pairs = sorted((-s, i) for s, at in zip(exact.tolist(), own.tolist()) for i in ids[at])[: k + 1]
-        out += [(name, -s, i) for s, i in pairs]
+    for low in range(0, len(asked), AT_ONCE):
+        part = unit_q[low : low + AT_ONCE]
+        visited = np.array([np.isin(leaves, x) for x in visits[low : low + AT_ONCE]])
+        near = np.full((len(part), len(v)), -2.0)
+        for (begin, end), there in zip(bounds, visited.T):
+            near[there, begin:end] = part[there] @ unit_v[begin:end].T
+        for q, line in enumerate(near, low):
+            keep = min(k + 1, len(v))
+            least = max(np.partition(line, len(v) - keep)[len(v) - keep] - 1e-9, -1.5)
+            own = np.flatnonzero(line >= least)
+            exact = (v[own] * asked[q]).sum(axis=1) / (norm_v[own] * norm_q[q])
+            pairs = sorted((-s, i) for s, at in zip(exact.tolist(), own.tolist()) for i in ids[at])[: k + 1]
+            out += [(names[q], -s, i) for s, i in pairs]
     columns = list(zip(*out)) or [[], [], []]
     return pa.table({"search": pa.array(columns[0], pa.int64()), "score": pa.array(columns[1], pa.float64()),
                      "id": pa.array(columns[2], pa.int64())})
@@ -258,34 +271,45 @@ def nearest(
         "search", F.xxhash64("v", F.reverse("v"))), "ann-queries")
     # One search for all queries with the same vector.
     searches = asking.dropDuplicates(["search"]).select("search", "v")
-    shared = spark.sparkContext.broadcast(tree)
+    # Places of the leaves in one row of all vectors, which is cut into bins of ``width``.
+    sizes = np.zeros(tree.leaves, dtype=np.int64)
+    for row in index.rows.groupBy("leaf").count().collect():
+        sizes[row["leaf"]] = row["count"]
+    starts = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    width = -(-n // max(-(-n // BIN_ROWS), LEAST_BINS))
+    shared = spark.sparkContext.broadcast((tree, starts // width, (starts + sizes - 1) // width, sizes > 0))
 
     def route(batches):
+        """One row per search and bin: the leaves to visit there."""
+        tree_, first, last, filled = shared.value
         for batch in batches:
             rows = unit(matrix(batch.column(1))) if batch.num_rows else []
-            leaves = [shared.value.visit(r, visits) for r in rows]
-            at = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-            if len(at):
-                taken = batch.take(pa.array(at))
+            for at, row in enumerate(rows):
+                leaf = np.array(tree_.visit(row, visits))
+                leaf = leaf[filled[leaf]]
+                spans = last[leaf] - first[leaf] + 1
+                of = np.repeat(leaf, spans)
+                bins = np.repeat(first[leaf] - np.cumsum(spans) + spans, spans) + np.arange(len(of))
+                order = np.argsort(bins, kind="stable")
+                met, begin = np.unique(bins[order], return_index=True)
+                ends = pa.array(np.append(begin, len(of)), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(of[order], pa.int32()))
+                taken = batch.take(pa.array(np.full(len(met), at)))
                 yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(np.concatenate(leaves), pa.int32())], ["search", "v", "leaf"]
+                    [*taken.columns, pa.array(met, pa.int64()), lists], ["search", "v", "bin", "leaves"]
                 )
 
-    routed = stored(searches.mapInArrow(route, "search long, v array<double>, leaf int"), "ann-searches")
-    # Blocks per leaf, from one count per leaf on either side (MAX_LEAVES rows at most).
-    own = index.rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("rb"))
-    theirs = routed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_SEARCHES).cast("int").alias("sb"))
-    blocks = F.broadcast(own.join(theirs, "leaf"))
-
-    def spread(df: DataFrame, key: Column, mine: str, other: str) -> DataFrame:
-        """Each row in its own block, once per block of the other side."""
-        return df.join(blocks, "leaf").withColumns({
-            mine[0]: F.pmod(key, F.col(mine)).cast("int"),
-            other[0]: F.explode(F.sequence(F.lit(0), F.col(other) - 1)),
-        }).drop("rb", "sb")
-
-    left = spread(index.rows, F.xxhash64("v"), "rb", "sb").groupBy("leaf", "r", "s")
-    right = spread(routed, F.xxhash64("search"), "sb", "rb").groupBy("leaf", "r", "s")
+    routed = stored(searches.mapInArrow(route, "search long, v array<double>, bin long, leaves array<int>"), "ann-searches")
+    blocks = routed.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK_SEARCHES).cast("int").alias("blocks"))
+    # A row per leaf, as many as the tree has, which goes to every task anyway.
+    places = F.broadcast(spark.createDataFrame(
+        [(i, int(a), int(c)) for i, (a, c) in enumerate(zip(starts, sizes)) if c], "leaf int, start long, size long"))
+    place = F.col("start") + F.pmod(F.xxhash64("v"), F.col("size"))
+    binned = index.rows.join(places, "leaf").select("leaf", "v", "ids", F.floor(place / width).cast("long").alias("bin"))
+    left = binned.join(blocks, "bin").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = routed.join(blocks, "bin").withColumn("s", F.pmod(F.xxhash64("search"), F.col("blocks")).cast("int"))
+    left, right = left.drop("blocks").groupBy("bin", "s"), right.drop("blocks").groupBy("bin", "s")
 
     def score(rows: pa.Table, searches: pa.Table) -> pa.Table:
         if not rows.num_rows or not searches.num_rows:
