@@ -23,7 +23,7 @@ def _panel(s, d):
     return cut_lineage(panel(s, d))
 
 
-add("sequence_forecast", lambda s, d: (lambda p: Q.forecast(Q.fit(p, max_samples=6000), p, 30))(_panel(s, d)))
+add("sequence_forecast", lambda s, d: (lambda p: Q.forecast(Q.fit(p), p, 30))(_panel(s, d)))
 add("gbt_evaluate", lambda s, d: G.evaluate(_panel(s, d), 90, TREES))
 add("gbt_forecast", lambda s, d: (lambda p: G.forecast(G.fit(p, TREES), p, 7))(_panel(s, d)))
 add("gbt_explain", lambda s, d: (lambda p: G.explain_next_step(G.fit(p, TREES), p, 8))(_panel(s, d)))

@@ -139,9 +139,8 @@ add("feature_frame", lambda s, d: _digest(E.feature_frame(panel(s, d)), *_COLS),
     _digest_sql("feats", *_COLS), ctes=BASE + [_feature_sql(1)])
 add("feature_frame_horizon_3", lambda s, d: _digest(E.feature_frame(panel(s, d), horizon=3), *_LAGS, *_ROLLS),
     _digest_sql("feats", *_LAGS, *_ROLLS), ctes=BASE + [_feature_sql(3)])
-add("lag_features", lambda s, d: E.feature_frame(panel(s, d), windows=(7,))
-    .where(F.dayofmonth("date") == 1).select(*SERIES_KEY, "date", *_LAGS),
-    f"SELECT commodity, state, date, {', '.join(_LAGS)} FROM feats WHERE day(date) = 1",
+add("lag_features", lambda s, d: E.feature_frame(panel(s, d), windows=(7,)).select(*SERIES_KEY, "date", *_LAGS),
+    f"SELECT commodity, state, date, {', '.join(_LAGS)} FROM feats",
     ctes=BASE + [_feature_sql(1, windows=(7,))])
 add("rolling_features", lambda s, d: _round(
     E.feature_frame(panel(s, d), lags=(1,), windows=(7, 30)).where(F.dayofmonth("date") == 1)
@@ -164,7 +163,7 @@ add("next_feature_row", lambda s, d: _round(E.next_feature_row(panel(s, d)), **{
 
 
 def _windows(s, d):
-    wins = E.sliding_windows(W.standardise(panel(s, d)), 30, 6000)
+    wins = E.sliding_windows(W.standardise(panel(s, d)), 30)
     wins = wins.withColumns({"first": F.element_at("inputs", 1), "last": F.element_at("inputs", -1),
                              "total": F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x)})
     return _digest(wins, "target", "first", "last", "total")

@@ -28,11 +28,10 @@ class Components:
 
 
 def fit_components(
-    panel: DataFrame, trees: gbt.TreeSettings = gbt.TreeSettings(), max_samples: int = 6000,
-    key: list[str] = SERIES_KEY,
+    panel: DataFrame, trees: gbt.TreeSettings = gbt.TreeSettings(), key: list[str] = SERIES_KEY,
 ) -> Components:
     return Components(
-        arima.fit(panel, 1, key), gbt.fit(panel, trees, key), sequence.fit(panel, max_samples=max_samples, key=key)
+        arima.fit(panel, 1, key), gbt.fit(panel, trees, key), sequence.fit(panel, key=key)
     )
 
 

@@ -63,6 +63,6 @@ def ensure_gbt(panel: DataFrame, root: str, settings: gbt.TreeSettings = gbt.Tre
     return _load_or_train(panel.sparkSession, GBTRegressionModel.load, lambda: gbt.fit(panel, settings), path)
 
 
-def ensure_seq(panel: DataFrame, root: str, max_samples: int = 6000) -> LinearRegressionModel:
+def ensure_seq(panel: DataFrame, root: str) -> LinearRegressionModel:
     path = model_path(root, "seq")
-    return _load_or_train(panel.sparkSession, LinearRegressionModel.load, lambda: sequence.fit(panel, max_samples=max_samples), path)
+    return _load_or_train(panel.sparkSession, LinearRegressionModel.load, lambda: sequence.fit(panel), path)

@@ -16,7 +16,6 @@ from pricewell.operators.series import last_rows, standardise
 from pricewell.schema import SERIES_KEY
 
 LOOKBACK = 30
-MAX_SAMPLES = 10_000
 
 
 def _padded(values, lookback: int):
@@ -25,11 +24,9 @@ def _padded(values, lookback: int):
     return F.concat(F.array_repeat(F.lit(0.0), missing), values)
 
 
-def fit(
-    panel: DataFrame, lookback: int = LOOKBACK, max_samples: int = MAX_SAMPLES, key: list[str] = SERIES_KEY
-) -> LinearRegressionModel:
+def fit(panel: DataFrame, lookback: int = LOOKBACK, key: list[str] = SERIES_KEY) -> LinearRegressionModel:
     """Least squares over all windows of all series; one pass over the data."""
-    windows = sliding_windows(standardise(panel, key), lookback, max_samples, key=key)
+    windows = sliding_windows(standardise(panel, key), lookback, key=key)
     rows = windows.select(
         array_to_vector(_padded(F.col("inputs"), lookback)).alias("features"),
         F.col("target").alias("label"),

@@ -219,7 +219,7 @@ def state_month_medians(prices: DataFrame, commodity: str, digits: int | None =
 
 
 def state_correlation(
-    prices: DataFrame, commodity: str, top_states: int = 10, min_months: int = 3
+    prices: DataFrame, commodity: str, top_states: int, min_months: int = 3
 ) -> DataFrame:
     """Correlation of monthly medians between the ``top_states`` states with most records.
 

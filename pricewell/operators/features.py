@@ -175,23 +175,20 @@ def next_feature_row(
 def sliding_windows(
     scaled: DataFrame,
     lookback: int = 30,
-    max_samples: int = 10_000,
     column: str = "z",
     key: list[str] = SERIES_KEY,
 ) -> DataFrame:
     """Rows of ``inputs`` (the values before) and ``target``.
 
     The lookback shrinks to ``n - 2`` in short series (at least one); series that then
-    have no full sample give no row.  Only the latest ``max_samples`` values are used.
+    have no full sample give no row.
     """
     w = by_date(key)
     n = F.count("*").over(Window.partitionBy(*key))
-    back = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("date")))
     rows = (
         scaled.withColumn("_n", n)
-        .withColumn("_back", back)
         .withColumn("_look", F.least(F.lit(lookback), F.greatest(F.lit(1), F.col("_n") - 2)))
-        .where((F.col("_n") > F.col("_look") + 1) & (F.col("_back") <= max_samples))
+        .where(F.col("_n") > F.col("_look") + 1)
     )
     held = F.collect_list(column).over(w.rowsBetween(-lookback, -1))
     return (
@@ -199,5 +196,5 @@ def sliding_windows(
         .where(F.size("_held") >= F.col("_look"))
         .withColumn("inputs", F.slice("_held", -F.col("_look"), F.col("_look")))
         .withColumn("target", F.col(column))
-        .drop("_held", "_n", "_back", "_look")
+        .drop("_held", "_n", "_look")
     )
