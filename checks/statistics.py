@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from checks.panels import BASE, MONTH, WEEK, panel
 from checks.registry import add
 from pricewell.models import arima as M
+from pricewell.models.registry import ensure_arima
 from pricewell.operators import series as W
 from pricewell.operators import stats as S
-from pricewell.plans.session import cut_lineage
+from pricewell.plans.session import cut_lineage, new_path
 from pricewell.schema import SERIES_KEY
 
 K = "PARTITION BY commodity, state"
@@ -156,13 +157,30 @@ def arima_path(steps: int) -> str:
 
 
 ARIMA_CTES = BASE + arima_ctes()
-add("arima_fit", lambda s, d: M.fit(panel(s, d)).select(
-    *SERIES_KEY, "model", "n", F.round(F.col("phi")[0], 4).alias("phi"), F.round("theta", 4).alias("theta"),
-    F.round("sigma2", 2).alias("sigma2"), F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic")), """
+
+
+def _parameters(fitted):
+    return fitted.select(
+        *SERIES_KEY, "model", "n", F.round(F.col("phi")[0], 4).alias("phi"), F.round("theta", 4).alias("theta"),
+        F.round("sigma2", 2).alias("sigma2"), F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"))
+
+
+_PARAMETERS = """
 SELECT commodity, state, 'ARIMA(1,1,1)' AS model, CAST(n AS INT) AS n, round(phi, 4) AS phi, round(theta, 4) AS theta,
        round(sigma2, 2) AS sigma2, round(n * (ln(2 * pi() * sigma2) + 1) + 6, 3) AS aic,
        round(n * (ln(2 * pi() * sigma2) + 1) + 3 * ln(n), 3) AS bic
-FROM par JOIN acov USING (commodity, state)""", ctes=ARIMA_CTES, recursive=True)
+FROM par JOIN acov USING (commodity, state)"""
+add("arima_fit", lambda s, d: _parameters(M.fit(panel(s, d))), _PARAMETERS, ctes=ARIMA_CTES, recursive=True)
+
+
+def _registered_twice(s, d):
+    """Parameters stored for the history up to a date, then asked for with all of it."""
+    root, days = new_path(s, "models"), cut_lineage(panel(s, d))
+    ensure_arima(days.where("date < DATE '1997-06-01'"), root).count()
+    return _parameters(ensure_arima(days, root))
+
+
+add("registry_arima", _registered_twice, _PARAMETERS, ctes=ARIMA_CTES, recursive=True)
 add("arima_forecast", lambda s, d: _round(
     M.forecast(M.fit(panel(s, d)), 30, None), forecast=2, lower_80=2, upper_80=2, lower_95=2, upper_95=2), f"""
 SELECT commodity, state, 'ARIMA(1,1,1)' AS model, CAST(h AS INT) AS step, last + CAST(h AS INT) AS date, round(f, 2) AS forecast,
@@ -172,6 +190,22 @@ FROM (SELECT *, yn + (phi * wn + theta * en) * (1 - pow(phi, h)) / (1 - phi) AS
         sqrt(sigma2 * sum(pow(1 + (phi + theta) * (1 - pow(phi, h - 1)) / (1 - phi), 2)) OVER (PARTITION BY commodity, state ORDER BY h)) AS sd
       FROM fin, (SELECT unnest(range(1, 31)) AS h))""",
     ctes=ARIMA_CTES + [FIN], recursive=True)
+WEEKLY_DAYS = WEEK + ["""wcal AS (SELECT commodity, state, CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP),
+    CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM weekly GROUP BY commodity, state)""", f"""
+wdense AS (SELECT commodity, state, c.date, last_value(y IGNORE NULLS) {OVER[:-1]}
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y
+  FROM wcal c LEFT JOIN weekly USING (commodity, state, date))"""]
+# weekly medians end in half hundredths, so two digits would meet ties
+add("arima_forecast_weekly", lambda s, d: _round(M.forecast(M.fit(panel(s, d, "W")), 30, None), forecast=3)
+    .select(*SERIES_KEY, "step", "date", "forecast"), """
+SELECT commodity, state, CAST(h AS INT) AS step, date, round(f, 3) AS forecast FROM fc""",
+    ctes=WEEKLY_DAYS + arima_ctes("wdense") + [FIN, arima_path(30)], recursive=True)
+add("arima_forecast_short", lambda s, d: M.forecast(M.fit(W.last_rows(panel(s, d), 4)), 7, 2)
+    .select(*SERIES_KEY, "model", "step", "date", "forecast", "upper_95"), """
+SELECT commodity, state, 'insufficient_history' AS model, CAST(h AS INT) AS step, last + CAST(h AS INT) AS date,
+       round(y, 2) AS forecast, CAST(NULL AS DOUBLE) AS upper_95
+FROM (SELECT commodity, state, max(date) AS last, arg_max(y, date) AS y FROM dense GROUP BY commodity, state),
+     (SELECT unnest(range(1, 8)) AS h)""", ctes=BASE)
 _ORD = " UNION ALL ".join(
     [f"SELECT commodity, state, 'ARIMA({p},1,0)' AS model, n * (ln(2 * pi() * v) + 1) + {2 * (p + 1)} AS aic FROM lev WHERE k = {p}"
      for p in range(6)]

@@ -20,6 +20,7 @@ from pricewell.schema import SERIES_KEY
 
 LONG_ORDER = 10
 MAX_AR = 5
+SHORT = 3  # differences that are too few to fit
 BOUND = 0.99  # keeps both parameters inside the stable region
 # Normal quantiles of two-sided 80 % and 95 % intervals.
 Z80, Z95 = 1.2815515655446004, 1.959963984540054
@@ -37,7 +38,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 def _diff(a: Column) -> Column:
     n = F.size(a)
-    return F.zip_with(F.slice(a, 2, n), F.slice(a, 1, n - 1), lambda x, y: x - y)
+    return F.zip_with(F.slice(a, 2, n), F.slice(a, 1, F.greatest(n - 1, F.lit(0))), lambda x, y: x - y)
 
 
 def _running(a: Column) -> Column:
@@ -53,22 +54,28 @@ def _shifted(a: Column, by: Column) -> Column:
 
 
 def series_arrays(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
-    """Each series as one array in date order: as long as the calendar, never as the raw rows."""
+    """Each series as one array of daily values: as long as the calendar, never as the raw rows.
+
+    A value holds until the next one, so weekly and monthly series have daily forecasts that
+    start the day after their last value.
+    """
     rows = panel.where(F.col("y").isNotNull()).groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("date", "y"))).alias("_rows")
     )
+    def held(row: Column, i: Column) -> Column:
+        until = F.coalesce(F.get(F.col("_rows"), i + 1)["date"], F.date_add(row["date"], 1))
+        return F.array_repeat(row["y"], F.datediff(until, row["date"]))
+
     return rows.select(
-        *key, F.size("_rows").alias("length"),
-        F.element_at("_rows", -1)["date"].alias("last_date"),
-        F.transform("_rows", lambda r: r["y"]).alias("ys"),
-    )
+        *key, F.element_at("_rows", -1)["date"].alias("last_date"), F.flatten(F.transform("_rows", held)).alias("ys"),
+    ).withColumn("length", F.size("ys"))
 
 
 # --- fitting -----------------------------------------------------------------------
 
 def _prepared(panel: DataFrame, d: int, key: list[str]) -> DataFrame:
     """Differenced arrays ``w`` with uncentred autocovariances and the long autoregression."""
-    out = series_arrays(panel, key).where(F.col("length") > d + 3)
+    out = series_arrays(panel, key)
     w = F.col("ys")
     for _ in range(d):
         w = _diff(w)
@@ -80,8 +87,9 @@ def _prepared(panel: DataFrame, d: int, key: list[str]) -> DataFrame:
         level = _diff(level)
     out = out.withColumn("ends", F.array(*ends).cast("array<double>"))
     gamma = F.array(
-        *[_dot(F.slice("w", k + 1, F.col("n")), F.slice("w", 1, F.greatest(F.col("n") - k, F.lit(0)))) / F.col("n")
-          if k else _dot(F.col("w"), F.col("w")) / F.col("n")
+        *[F.try_divide(
+            _dot(F.slice("w", k + 1, F.col("n")), F.slice("w", 1, F.greatest(F.col("n") - k, F.lit(0))))
+            if k else _dot(F.col("w"), F.col("w")), F.col("n").cast("double"))
           for k in range(LONG_ORDER + 1)]
     )
     out = out.withColumn("gamma", F.transform(gamma, lambda g: F.coalesce(g, F.lit(0.0))))
@@ -110,7 +118,11 @@ def _with_residuals(out: DataFrame) -> DataFrame:
 
 
 def fit(panel: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> DataFrame:
-    """Parameters of ARIMA(1,d,1): one row per series that is long enough."""
+    """Parameters of ARIMA(1,d,1): one row per series.
+
+    A series with no more than three differences has a row of the model ``insufficient_history``:
+    its last value goes on, without intervals.
+    """
     out = _with_residuals(_prepared(panel, d, key))
     # rows (w_t, w_{t-1}, e_{t-1}) where the lagged residual exists
     first = F.col("order") + 2
@@ -143,7 +155,7 @@ def fit(panel: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> DataFrame:
     out = out.withColumn("sigma2", F.greatest(F.lit(0.0), F.try_divide(rss, F.col("_m"))))
     # the last innovation, started from zero: e_t = w_t - phi w_{t-1} - theta e_{t-1}
     steps = F.zip_with(
-        F.slice("w", 2, F.col("n")), F.slice("w", 1, F.col("n") - 1), lambda x, y: x - p * y
+        F.slice("w", 2, F.col("n")), F.slice("w", 1, F.greatest(F.col("n") - 1, F.lit(0))), lambda x, y: x - p * y
     )
     last_e = F.aggregate(steps, F.lit(0.0), lambda acc, u: u - q * acc)
     return _table(out, key, d, f"ARIMA(1,{d},1)", F.array(p), q, last_e, 3)
@@ -151,13 +163,19 @@ def fit(panel: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> DataFrame:
 
 def _table(out, key, d, name, phi, theta, last_e, n_params) -> DataFrame:
     n = F.col("n").cast("double")
+    short = F.col("n") <= SHORT
+    out = out.withColumn("sigma2", F.when(~short, F.col("sigma2")))
     fit_term = n * (F.ln(2 * math.pi * F.col("sigma2")) + 1)
+    none = F.array().cast("array<double>")
+    last_value = F.array(F.try_element_at("ys", F.lit(-1)))
     return out.select(
-        *key, F.lit(name).alias("model"), F.lit(d).alias("d"),
-        phi.cast("array<double>").alias("phi"), theta.alias("theta"), F.col("sigma2"),
-        last_e.alias("last_e"),
+        *key, F.when(short, "insufficient_history").otherwise(name).alias("model"),
+        F.when(short, 1).otherwise(d).alias("d"),
+        F.when(short, none).otherwise(phi.cast("array<double>")).alias("phi"),
+        F.when(short, 0.0).otherwise(theta).alias("theta"), F.col("sigma2"),
+        F.when(short, 0.0).otherwise(last_e).alias("last_e"),
         F.slice("w", F.greatest(F.col("n") - MAX_AR + 1, F.lit(1)), MAX_AR).alias("tail"),
-        F.col("ends"), F.col("last_date"), F.col("n"),
+        F.when(short, last_value).otherwise(F.col("ends")).alias("ends"), F.col("last_date"), F.col("n"),
         (fit_term + 2 * n_params).alias("aic"), (fit_term + n_params * F.ln(n)).alias("bic"),
     )
 
@@ -214,7 +232,7 @@ def auto_select(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
 
 def residuals(panel: DataFrame, params: DataFrame, d: int = 1, key: list[str] = SERIES_KEY) -> DataFrame:
     """In-sample innovations of the fitted ARMA part as rows ``(key, step, date, resid)``."""
-    arrays = _prepared(panel, d, key).select(*key, "w", "n", "last_date")
+    arrays = _prepared(panel, d, key).where(F.col("n") > SHORT).select(*key, "w", "n", "last_date")
     fitted = arrays.join(params.select(*key, "phi", "theta"), key)
     steps = F.zip_with(
         F.slice("w", 2, F.col("n")), F.slice("w", 1, F.col("n") - 1),

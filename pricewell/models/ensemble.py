@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricewell.models import arima, gbt, sequence
 from pricewell.operators.align import actual_with_forecast, side_by_side
 from pricewell.operators.evaluate import metrics
+from pricewell.operators.series import daily_values
 from pricewell.plans.sizing import stacked
 from pricewell.schema import SERIES_KEY
 
@@ -82,7 +83,7 @@ def fit_weights(
     rounded: bool = False, key: list[str] = SERIES_KEY,
 ) -> DataFrame:
     """Fit the components without the validation rows, score them there, and weigh them."""
-    parts = validation_split(panel, most, key)
+    parts = validation_split(daily_values(panel, key), most, key)
     train = parts.where("part = 'train'").drop("part")
     models = fit_components(train, trees, key=key)
     forecasts = component_forecasts(models, train, most, 2, key)

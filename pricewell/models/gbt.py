@@ -17,7 +17,7 @@ from pricewell.operators.evaluate import metrics
 from pricewell.operators.features import (
     CALENDAR, LAGS, WINDOWS, feature_frame, lag_names, next_row_features, recent_history, roll_names,
 )
-from pricewell.operators.series import split_train_test
+from pricewell.operators.series import daily_values, split_train_test
 from pricewell.plans.session import cut_lineage
 from pricewell.plans.sizing import stacked
 from pricewell.schema import SERIES_KEY
@@ -63,8 +63,8 @@ def training_frame(frame: DataFrame) -> DataFrame:
 
 
 def fit(panel: DataFrame, settings: TreeSettings = TreeSettings(), key: list[str] = SERIES_KEY) -> GBTRegressionModel:
-    """Train on every series of the panel at once."""
-    return fit_frame(feature_frame(panel, key=key), settings)
+    """Train on every series of the panel at once, day by day."""
+    return fit_frame(feature_frame(daily_values(panel, key), key=key), settings)
 
 
 def fit_frame(frame: DataFrame, settings: TreeSettings = TreeSettings()) -> GBTRegressionModel:
@@ -101,7 +101,7 @@ def evaluate(
 
     ``test_size`` is a number of rows, or a table with ``tree_test`` per series.
     """
-    frame = feature_frame(panel, key=key)
+    frame = feature_frame(daily_values(panel, key), key=key)
     if isinstance(test_size, int):
         parts = split_train_test(frame, test_size, key)
     else:
@@ -131,7 +131,7 @@ def forecast(
     """
     # few rows but much work per row: keep the full width after the grouping
     width = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    state = recent_history(panel, KEEP, key).withColumn("path", F.array().cast("array<double>"))
+    state = recent_history(daily_values(panel, key), KEEP, key).withColumn("path", F.array().cast("array<double>"))
     state = cut_lineage(state.repartition(width, *key))
     carried = [*key, "last_date", "length", "history", "path"]
     for step in range(1, steps + 1):
@@ -167,6 +167,7 @@ def forecast_direct(
     key: list[str] = SERIES_KEY,
 ) -> DataFrame:
     """One model per horizon instead of feeding forecasts back."""
+    panel = daily_values(panel, key)
     state = recent_history(panel, KEEP, key)
     parts = []
     for h in horizons:

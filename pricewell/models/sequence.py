@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewell.operators.features import sliding_windows
-from pricewell.operators.series import last_rows, standardise
+from pricewell.operators.series import daily_values, last_rows, standardise
 from pricewell.schema import SERIES_KEY
 
 LOOKBACK = 30
@@ -26,7 +26,7 @@ def _padded(values, lookback: int):
 
 def fit(panel: DataFrame, lookback: int = LOOKBACK, key: list[str] = SERIES_KEY) -> LinearRegressionModel:
     """Least squares over all windows of all series; one pass over the data."""
-    windows = sliding_windows(standardise(panel, key), lookback, key=key)
+    windows = sliding_windows(standardise(daily_values(panel, key), key), lookback, key=key)
     rows = windows.select(
         array_to_vector(_padded(F.col("inputs"), lookback)).alias("features"),
         F.col("target").alias("label"),
@@ -41,7 +41,7 @@ def forecast(
     """Recursive forecast in scaled values, brought back to prices."""
     weights = [float(w) for w in model.coefficients.toArray()]
     lookback = len(weights)
-    recent = last_rows(standardise(panel, key), lookback, key).groupBy(*key).agg(
+    recent = last_rows(standardise(daily_values(panel, key), key), lookback, key).groupBy(*key).agg(
         F.max("date").alias("last_date"), F.first("mean").alias("mean"), F.first("scale").alias("scale"),
         F.sort_array(F.collect_list(F.struct("date", "z"))).alias("_rows"),
     )

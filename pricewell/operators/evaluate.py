@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewell.models import arima
 from pricewell.operators.align import actual_with_forecast
+from pricewell.operators.series import daily_values
 from pricewell.schema import SERIES_KEY
 
 
@@ -80,7 +81,10 @@ def walk_forward_scores(
     panel: DataFrame, test_size: int | str = 30, n_splits: int = 5, d: int = 1, key: list[str] = SERIES_KEY
 ) -> DataFrame:
     """ARIMA(1,d,1) scores of every series and fold, fitted in one job."""
-    train, test = walk_forward_folds(panel, test_size, n_splits, key)
+    days = daily_values(panel, key)
+    if isinstance(test_size, str):
+        days = days.join(panel.groupBy(*key).agg(F.max(test_size).alias(test_size)), key)
+    train, test = walk_forward_folds(days, test_size, n_splits, key)
     fold_key = [*key, "fold"]
     horizon = test.groupBy(*fold_key).agg(F.max("test_size").alias("steps"))
     params = arima.fit(train, d, fold_key).join(horizon, fold_key)

@@ -54,6 +54,11 @@ def densify(daily: DataFrame, key: list[str] = SERIES_KEY, fill: bool = True) ->
     )
 
 
+def daily_values(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
+    """``key, date, y`` for every calendar day; weekly and monthly series are carried forward."""
+    return densify(panel, key).select(*key, "date", "y")
+
+
 def forward_fill(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
     frame = by_date(key).rowsBetween(Window.unboundedPreceding, 0)
     return panel.withColumn("y", F.last("y", ignorenulls=True).over(frame))

@@ -54,7 +54,7 @@ def retrain(
     """Fit, score and forecast every pair, and append the forecasts to the log.
 
     The gap-free panel is written once and keeps its partitioning by series, so the steps
-    below do not shuffle it again.  Each component is fitted once without and once with
+    below do not shuffle it again.  Stored models are replaced.  Each component is fitted once without and once with
     the validation rows; scores, weights and log share the results.
     """
     panel = crop_series(prices, freq=freq)
@@ -64,11 +64,11 @@ def retrain(
     sizes = test_sizes(panel)
     sized = panel.join(sizes, SERIES_KEY)
 
-    weights = cut_lineage(ensemble.fit_weights(panel, trees, validation))
+    weights = registry.store_weights(ensemble.fit_weights(panel, trees, validation), artifacts)
     models = ensemble.Components(
-        registry.ensure_arima(panel, artifacts),
-        registry.ensure_gbt(panel, artifacts, trees),
-        registry.ensure_seq(panel, artifacts),
+        registry.ensure_arima(panel, artifacts, refresh=True),
+        registry.ensure_gbt(panel, artifacts, trees, refresh=True),
+        registry.ensure_seq(panel, artifacts, refresh=True),
     )
     forecasts = cut_lineage(ensemble.component_forecasts(models, panel, steps))
     combined = ensemble.combine(forecasts, weights)
