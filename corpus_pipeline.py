@@ -16,10 +16,11 @@ LEAST_SCORE = 0.3
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some learned language; undetermined ones go."""
     model = language_id.fit(docs.filter(~held_out(F.col("doc_id"))))
-    judged = language_id.predict(docs, model, keep=[F.col(c) for c in docs.columns])
-    return judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(
-        *docs.columns
-    )
+    # Numbered on the way, so that no column clashes with those of the prediction.
+    names = {f"column_{i}": name for i, name in enumerate(docs.columns)}
+    judged = language_id.predict(docs, model, keep=[F.col(f"`{name}`").alias(n) for n, name in names.items()])
+    known = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.drop("lang_pred", "score").withColumnsRenamed(names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

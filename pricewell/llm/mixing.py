@@ -187,10 +187,11 @@ def mix(
 
 def mixed(documents: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``documents`` in as many whole copies as the mix takes of them, nearest."""
-    row, copies = private("row"), private("copies")
+    row, copies, taken_row, copy = (private(n) for n in ("row", "copies", "taken", "copy"))
     numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     taken = mix(numbered, row, text, source, **options).filter("size > 0").select(
-        F.col("key").alias("_k"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies)
+        F.col("key").alias(taken_row), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies)
     )
-    chosen = numbered.join(taken.filter(F.col(copies) > 0), F.col(row) == F.col("_k"))
-    return chosen.select(*documents.columns, F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(row)).drop(row)
+    chosen = numbered.join(taken.filter(F.col(copies) > 0), F.col(row) == F.col(taken_row))
+    each = chosen.select("*", F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy))
+    return each.drop(row, copies, taken_row, copy)

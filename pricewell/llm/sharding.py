@@ -10,7 +10,8 @@ proportion to their weights.  Everything is a projection: no shuffle, no skew.
 
 Defined cases: a null key is the key ``null`` (all such records share a shard); repeated rows go to
 the same shard; equal scores go to the smaller shard number; an empty table gives an empty result.
-Columns of the input stay as they are; the result's own columns must not clash with them.
+Other columns of the input stay as they are; those named like a result column give way to it (the key
+must not be one of them).
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def number_within(df: DataFrame, group: str, order: list[str], slot: str = "slot
     one row per partition and group, give the offsets.
     """
     spark = df.sparkSession
-    part, place, before = private("part"), private("place"), private("before")
+    part, place, before, same, at = (private(n) for n in ("part", "place", "before", "same", "at"))
     run = df.repartitionByRange(shuffle_width(spark), group, *order).sortWithinPartitions(group, *order)
     run = stored(
         run.withColumn(part, F.spark_partition_id())
@@ -55,11 +56,11 @@ def number_within(df: DataFrame, group: str, order: list[str], slot: str = "slot
     runs = run.groupBy(group, part).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
     earlier = F.sum("_n").over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     offsets = runs.select(
-        F.col(group).alias("_g"), F.col(part).alias("_p"),
+        F.col(group).alias(same), F.col(part).alias(at),
         (F.coalesce(earlier, F.lit(0)) - F.col("_first")).alias(before),
     )
-    joined = run.join(F.broadcast(offsets), run[group].eqNullSafe(offsets["_g"]) & (run[part] == offsets["_p"]))
-    return joined.select(*[run[c] for c in df.columns], (F.col(place) + F.col(before)).alias(slot))
+    joined = run.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col(same)) & (F.col(part) == F.col(at)))
+    return joined.withColumn(slot, F.col(place) + F.col(before)).drop(part, place, before, same, at)
 
 
 def assign_shards(
@@ -71,7 +72,10 @@ def assign_shards(
     columns that make the order of equal keys definite.
     """
     weights = list(weights or [1.0] * shards)
-    placed = df.select(
+    own = ["shard", "grown_shard", "slot"]
+    if key in own:
+        raise ValueError(f"the key must not be named {key!r}")
+    placed = df.drop(*own).select(
         "*",
         rendezvous_shard(F.col(key), weights).alias("shard"),
         rendezvous_shard(F.col(key), [*weights, sum(weights) / len(weights)]).alias("grown_shard"),

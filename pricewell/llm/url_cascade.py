@@ -14,7 +14,8 @@ the executors, and a longer list raises an error instead of losing keys.
 
 Defined cases: null url, or none with ``://``: host and path are empty and no rule fits; an empty path
 fits no rule with a path; host letters A-Z are lower-cased; user, port and stray dots stay part of the
-host; repeated rows give repeated rows; an empty table gives an empty result.
+host; repeated rows give repeated rows; an empty table gives an empty result; columns of the input that are
+named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.text import ascii_lower, stored
+from pricewell.llm.text import ascii_lower, private, stored
 
 MAX_LEVELS = 64
 
@@ -154,14 +155,17 @@ def judge_urls(
     verdicts = sorted({v for v, _, _ in rules})
     cascades = {v: build_cascade(universe, table.filter(F.col("verdict") == v)) for v in verdicts}
 
-    split = pages.select("*", host.alias("host"), path.alias("path"))
+    own = {private(c): c for c in ("host", "path")}
+    best_hit = private("best")
+    split = pages.select("*", *[v.alias(c) for c, v in zip(own, (host, path))])
+    split = split.drop("host", "path", "rule", "verdict").withColumnsRenamed(own)
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     hits = [_hits(keys, cascades[v], v) for v in verdicts if cascades[v]]
     if not hits:
         return split.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    best = F.array_max(F.concat(*hits))
     return (
-        split.withColumn("_best", best)
-        .select(*split.columns, F.col("_best.key").alias("rule"),
-                F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
+        split.withColumn(best_hit, F.array_max(F.concat(*hits)))
+        .select("*", F.col(best_hit)["key"].alias("rule"),
+                F.coalesce(F.col(best_hit)["verdict"], F.lit(default)).alias("verdict"))
+        .drop(best_hit)
     )
