@@ -14,10 +14,11 @@ A piece that is frequent in the corpus gives many hits; hits of one item with ne
 and a stretch is only verified in full when enough of the item's trigrams lie in it (an occurrence with k edits
 keeps all but 3 k of them), a test that loses nothing.
 
-Defined cases: null or empty text matches nothing; items that are null or without letters or digits match
-nothing; an item as short as its budget allows no error is sought exactly; repeated items with one id
-count once; ties take the earliest end; an empty table gives an empty result; other columns are
-not read and stay in ``decontaminated``.
+Defined cases: null or empty text matches nothing; items whose text is null or without letters or digits match
+nothing; an item as short as its budget allows no error is sought exactly; an item is a pair of id and normalised
+text, so each text of an id is sought and reported, repeated pairs count once, and items without an id are reported
+with a null id (``decontaminated`` does not remove for those, see there); ties take the earliest end; an empty table
+gives an empty result; other columns are not read and stay in ``decontaminated``.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def contaminations(
     documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """``doc_id, item_id, distance, end_char`` for each document and item it holds within the budget.
+    """``doc_id, item_id, distance, end_char`` for each document and item, a pair of id and text, within the budget.
 
     ``end_char`` is where the best occurrence ends in the normalised document.
     """
@@ -152,30 +153,34 @@ def contaminations(
 
 
 def _blocks(items: DataFrame, block_chars: int):
-    """Lists of (id, normalised text) that hold ``block_chars`` characters each, or one long item."""
-    block, size, seen = [], 0, set()
-    for row in items.orderBy("i", "t").toLocalIterator():
-        text = normalised(row["t"])
-        if row["i"] is None or not text or row["i"] in seen:
-            continue
-        seen.add(row["i"])
-        if block and size + len(text) > block_chars:
+    """Lists of distinct (id, normalised text) that hold ``block_chars`` characters each, or one long item."""
+    def normal(batches):
+        for batch in batches:
+            texts = pa.array([normalised(t.as_py()) for t in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["i", "t"])
+
+    distinct = items.select("i", "t").mapInArrow(normal, "i long, t string").filter("t <> ''").distinct()
+    block, size = [], 0
+    for row in distinct.orderBy("i", "t").toLocalIterator():
+        if block and size + len(row["t"]) > block_chars:
             yield block
             block, size = [], 0
-        block.append((row["i"], text))
-        size += len(text)
+        block.append((row["i"], row["t"]))
+        size += len(row["t"])
     if block:
         yield block
 
 
 def _search(items, rate: float):
     def run(batches):
-        matcher = Matcher(items.value, rate)
+        # The matcher knows items by their place in the block: an id may be null or have several texts.
+        ids = [i for i, _ in items.value]
+        matcher = Matcher([(n, t) for n, (_, t) in enumerate(items.value)], rate)
         for batch in batches:
             rows = [
-                (doc.as_py(), *match)
+                (doc.as_py(), ids[n], *match)
                 for doc, text in zip(batch.column(0), batch.column(1))
-                for match in matcher.matches(normalised(text.as_py()))
+                for n, *match in matcher.matches(normalised(text.as_py()))
             ]
             columns = list(zip(*rows)) or [[], [], [], []]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -186,6 +191,10 @@ def _search(items, rate: float):
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``documents`` without those that hold a test item; rows without an id stay."""
-    found = stored(contaminations(documents, benchmark, rate=rate).select("doc_id").distinct(), "contaminated")
+    """``documents`` without those that hold a test item that has an id; rows without an id stay.
+
+    Leaks of items without an id are only reported, by ``contaminations``.
+    """
+    leaks = contaminations(documents, benchmark, rate=rate).filter("item_id IS NOT NULL")
+    found = stored(leaks.select("doc_id").distinct(), "contaminated")
     return documents.join(found, "doc_id", "left_anti").select(*documents.columns)

@@ -48,6 +48,17 @@ def test_leaks_are_found_and_clean_documents_stay(frame, spark):
     assert not decontaminate.contaminations(docs.limit(0), items).collect()
 
 
+def test_every_text_of_an_item_id_is_sought(frame, spark):
+    other = "a second passage under the very same number that is not at all like the first one of them"
+    docs = frame([(1, ITEM, None, None), (2, f"so {other} it is", None, None), (3, "clean", None, None)], DOCUMENTS)
+    items = spark.createDataFrame(
+        [(0, ITEM), (0, other), (0, other.upper()), (None, other), (None, ITEM)], "item_id long, text string")
+    for chars in (50, 2_000_000):
+        found = decontaminate.contaminations(docs, items, block_chars=chars).collect()
+        assert sorted((r["doc_id"], str(r["item_id"])) for r in found) == [(1, "0"), (1, "None"), (2, "0"), (2, "None")]
+    assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] == [3]
+
+
 def test_languages_are_learned_and_unknown_words_back_off(frame):
     words = {"a": "kata mika tolo sata", "b": "strum grolf brint zwerk"}
     rows = [(i, words[g], g, None) for g in words for i in range(20)]
