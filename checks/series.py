@@ -142,7 +142,16 @@ add("feature_frame_horizon_3", lambda s, d: _digest(E.feature_frame(panel(s, d),
 add("lag_features", lambda s, d: E.feature_frame(panel(s, d), windows=(7,)).select(*SERIES_KEY, "date", *_LAGS),
     f"SELECT commodity, state, date, {', '.join(_LAGS)} FROM feats",
     ctes=BASE + [_feature_sql(1, windows=(7,))])
-add("rolling_features", lambda s, d: _round(
+
+
+def rolling_query(s, d):
+    """Every row and window."""
+    return E.feature_frame(panel(s, d), lags=(1,)).select(*SERIES_KEY, "date", *_ROLLS)
+
+
+add("rolling_features", rolling_query)
+# Two windows on the first days of months, beside the whole frame above, which has no SQL.
+add("rolling_features_month_starts", lambda s, d: _round(
     E.feature_frame(panel(s, d), lags=(1,), windows=(7, 30)).where(F.dayofmonth("date") == 1)
     .select(*SERIES_KEY, "date", *E.roll_names((7, 30))),
     roll_mean_7=6, roll_std_7=4, roll_mean_30=6, roll_std_30=4), """

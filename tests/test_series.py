@@ -119,3 +119,19 @@ def test_windows_are_partitioned(make_panel):
     df = E.feature_frame(make_panel({("C", "S"): range(100)}))
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in text and "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rolling_query_returns_every_day_and_window(spark, make_panel, monkeypatch):
+    from checks import series as checked
+
+    rng = np.random.default_rng(8)
+    data = {("C", "S"): rng.normal(100, 9, 130), ("C", "T"): rng.normal(50, 3, 95)}
+    monkeypatch.setattr(checked, "panel", lambda s, d: make_panel(data))
+    rows = checked.rolling_query(spark, None).collect()
+    assert len(rows) == sum(len(v) - 90 for v in data.values())
+    for r in rows:
+        y, at = data[r["commodity"], r["state"]], (r["date"] - dt.date(2020, 1, 1)).days
+        for n in (7, 14, 30, 90):
+            part = y[at - n : at]
+            want = part.mean(), part.std(), part.min(), part.max()
+            assert [r[f"roll_{k}_{n}"] for k in ("mean", "std", "min", "max")] == pytest.approx(want)
