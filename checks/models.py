@@ -15,24 +15,25 @@ from pricewell.schema import SERIES_KEY
 from pricewell.sources.sinks import read_log
 from pricewell.sources.star import star_prices
 
-# few and shallow trees: the rows are all there, the training is short
-TREES = G.TreeSettings(trees=3, depth=4)
+# the operator's own settings; unit tests use few and shallow trees
+TREES = G.TreeSettings()
+STEPS, VALIDATION = 30, 90
 
 
 def _panel(s, d):
     return cut_lineage(panel(s, d))
 
 
-add("sequence_forecast", lambda s, d: (lambda p: Q.forecast(Q.fit(p), p, 30))(_panel(s, d)))
+add("sequence_forecast", lambda s, d: (lambda p: Q.forecast(Q.fit(p), p, STEPS))(_panel(s, d)))
 add("gbt_evaluate", lambda s, d: G.evaluate(_panel(s, d), 90, TREES))
-add("gbt_forecast", lambda s, d: (lambda p: G.forecast(G.fit(p, TREES), p, 7))(_panel(s, d)))
+add("gbt_forecast", lambda s, d: (lambda p: G.forecast(G.fit(p, TREES), p, STEPS))(_panel(s, d)))
 add("gbt_explain", lambda s, d: (lambda p: G.explain_next_step(G.fit(p, TREES), p, 8))(_panel(s, d)))
-add("ensemble_weights", lambda s, d: N.fit_weights(_panel(s, d), TREES, 14))
+add("ensemble_weights", lambda s, d: N.fit_weights(_panel(s, d), TREES, VALIDATION))
 
 
 def _retrained(s, d):
     log = new_path(s, "log")
-    retrain(star_prices(s, d), log, new_path(s, "models"), steps=7, trees=TREES, validation=14)
+    retrain(star_prices(s, d), log, new_path(s, "models"), steps=STEPS, trees=TREES, validation=VALIDATION)
     return read_log(s, log).drop("created_at")
 
 

@@ -165,3 +165,27 @@ def test_ensemble_goes_on_without_a_component(spark):
         ('A', 'arima', 0.25D), ('A', 'xgb', 0.75D), ('B', 'arima', 0.5D), ('B', 'xgb', 0.5D) AS t(c, m, w)""")
     got = ensemble.combine(forecasts, weights, components=["arima", "xgb"]).collect()
     assert {r["commodity"]: r["forecast"] for r in got} == {"A": 17.5, "B": 4.0, "C": 3.0}
+
+
+def test_model_queries_run_at_production_size(spark, monkeypatch):
+    from checks import models as checked
+    from checks.registry import QUERIES
+
+    seen = {}
+    monkeypatch.setattr(checked, "_panel", lambda s, d: "panel")
+    monkeypatch.setattr(checked, "star_prices", lambda s, d: "prices")
+    monkeypatch.setattr(checked, "read_log", lambda s, log: spark.range(1).withColumnRenamed("id", "created_at"))
+    monkeypatch.setattr(checked, "retrain", lambda p, log, models, **k: seen.update(retrain=k))
+    monkeypatch.setattr(checked.N, "fit_weights", lambda p, trees, most: seen.update(weights=(trees, most)))
+    monkeypatch.setattr(checked.G, "evaluate", lambda p, size, trees: seen.update(evaluate=(size, trees)))
+    monkeypatch.setattr(checked.G, "fit", lambda p, trees: seen.setdefault("fits", []).append(trees))
+    monkeypatch.setattr(checked.G, "forecast", lambda m, p, steps: seen.update(steps=steps))
+    monkeypatch.setattr(checked.G, "explain_next_step", lambda m, p, top: seen.update(top=top))
+    for name in ("gbt_evaluate", "gbt_forecast", "gbt_explain", "ensemble_weights", "retrain_log"):
+        QUERIES[name](spark, "unused")
+    full = gbt.TreeSettings()
+    assert (full.trees, full.depth) == (500, 6)
+    assert seen == {
+        "retrain": {"steps": 30, "trees": full, "validation": 90}, "weights": (full, 90), "evaluate": (90, full),
+        "fits": [full, full], "steps": 30, "top": 8,
+    }
