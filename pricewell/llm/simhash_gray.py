@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.text import stored
+from pricewell.llm.text import private, stored
 from pricewell.plans.session import ship_package
 
 SEED = 42
@@ -64,18 +64,22 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` per row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                 row: str | None = None) -> DataFrame:
+    """``doc_id, fp`` per row, and the long column ``row``, if given; ``fp`` is the fingerprint as a signed long."""
     ship_package(documents.sparkSession)
+    names, schema = (["doc_id", "fp"], "doc_id long, fp long") if row is None else (
+        ["doc_id", "fp", "row"], "doc_id long, fp long, row long")
 
     def run(batches):
         for batch in batches:
             values = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             fp = np.array(values, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names)
 
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    kept = [] if row is None else [F.col(row).alias("row")]
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *kept)
+    return rows.mapInArrow(run, schema)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -267,16 +271,20 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise ValueError("components did not settle")
 
 
+def _rooted(entries: DataFrame, limit: int) -> DataFrame:
+    """``entries`` (``fp`` and others) plus ``root``, the fingerprint that stands for their component."""
+    roots = components(links(entries, limit))
+    return entries.join(roots, entries["fp"] == roots["node"], "left").select(
+        *[entries[c] for c in entries.columns], F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, limit: int = 2,
 ) -> DataFrame:
     """``doc_id, fp, component_id`` per row: the smallest id that links of ``limit`` bits reach."""
     prints = stored(fingerprints(documents, doc_id, text, shingle), "fingerprints")
-    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
-    roots = components(links(entries, limit))
-    placed = entries.join(roots, entries["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    placed = _rooted(stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries"), limit)
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(best, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -284,7 +292,17 @@ def near_duplicates(
 
 def without_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        shingle: int = 3, limit: int = 2) -> DataFrame:
-    """``documents`` with one id of each component, the smallest; rows without an id stay."""
-    found = near_duplicates(documents, doc_id, text, shingle, limit)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return documents.join(gone, doc_id, "left_anti").select(*documents.columns)
+    """One row of each component: that with the smallest id, rows without an id last, of equal ids any one.
+
+    Rows are told apart by a number of their own, so repeated rows leave one, and of an id with several texts
+    each text is judged for itself.
+    """
+    row = private("row")
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    prints = stored(fingerprints(numbered, doc_id, text, shingle, row), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    placed = _rooted(stored(prints.groupBy("fp").agg(first.alias("least")), "entries"), limit)
+    best = placed.groupBy("root").agg(F.min("least").alias("best"))
+    named = placed.join(best, "root").select("fp", F.col("best.row").alias("kept"))
+    gone = prints.join(named, "fp").filter("row <> kept").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*documents.columns)

@@ -73,3 +73,18 @@ def test_neighbours_reach_the_recall_and_defined_cases(frame):
     assert hits / total >= 0.9
     assert set(got) == {*range(0, 1500, 50), 2000}
     assert ann_tree.build_index(table.limit(0)) is None
+
+
+def test_one_row_of_each_group_stays(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ape", "bee", "cow", "dog"))
+    rows = [
+        (1, one), (1, one), (1, one),  # a table loaded more than once
+        (2, one), (2, two),  # an id with a copy of an earlier text and one of its own
+        (None, three), (None, three), (None, four), (7, four),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [("1", one), ("2", two), ("7", four), ("None", three)]
+    for table in (docs, docs.unionAll(docs).repartition(3)):
+        kept = simhash_gray.without_duplicates(table)
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == want
+        assert kept.columns == docs.columns
