@@ -6,8 +6,8 @@ length at which any of its n-grams is known adds the mean of their log frequenci
 are all unknown says nothing.  The language with the largest sum wins; the score is its share among
 the languages when sums are averaged per word.
 
-The model is fitted on a bounded sample: per language at most about ``fit_rows`` labelled rows, chosen
-by a hash of the text, and holds per language the ``vocabulary`` most frequent words and the ``grams``
+The model is fitted on a bounded sample: per language ``fit_rows`` distinct labelled texts, or all if it has fewer,
+chosen by a hash of the text, so that copies count once and every labelled language has some.  It holds per language the ``vocabulary`` most frequent words and the ``grams``
 most frequent n-grams of each length.  Its size is therefore bounded by these parameters and the number of
 languages, and it goes to every task; prediction is then one pass over the documents without a shuffle.
 
@@ -130,15 +130,22 @@ def _predictor(model: Model) -> Predictor:
 
 
 def _sampled(documents: DataFrame, text: str, lang: str, fit_rows: int) -> DataFrame:
-    """About ``fit_rows`` rows per language at most, by a hash of the text."""
+    """``fit_rows`` distinct texts per language at most, those with the least hashes."""
     labelled = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
+        F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
+        F.shiftrightunsigned(F.xxhash64(F.col(text)), 1).alias("h"),
     )
-    sizes = labelled.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("count"))
-    limits = sizes.select("lang", (share * 1_000_000).cast("long").alias("limit"))
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("limit")
-    return labelled.join(F.broadcast(limits), "lang").filter(drawn).select("lang", "text")
+    hashes = labelled.select("lang", "h").distinct()
+    sizes = hashes.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    # About twice the wanted number lie below the limit, so that only few rows of a language are put in order.
+    share = F.lit(float(2 * fit_rows + 64)) / F.col("n")
+    limits = sizes.select("lang", "least", F.when(share < 1, (share * 2.0**63).cast("long")).alias("limit"))
+    low = hashes.join(F.broadcast(limits), "lang").filter(
+        F.col("limit").isNull() | (F.col("h") <= F.col("limit")) | (F.col("h") == F.col("least"))
+    )
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = low.select("lang", "h", nth.alias("nth")).filter(F.col("nth") <= fit_rows).select("lang", "h")
+    return labelled.join(F.broadcast(drawn), ["lang", "h"]).select("lang", "text").distinct()
 
 
 def fit(

@@ -73,6 +73,18 @@ def test_languages_are_learned_and_unknown_words_back_off(frame):
     assert {r["lang_pred"] for r in language_id.predict(asked, empty).collect()} == {"und"}
 
 
+def test_fit_rows_are_distinct_texts_of_every_language(spark):
+    rows = [(f"copy {i % 2} of {g}", g) for g in "abcdefgh" for i in range(60)]
+    rows += [("most of all rows", "z")] * 300 + [(f"other text {i}", "z") for i in range(200)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    drawn = language_id._sampled(docs, "text", "lang", 5).collect()
+    assert len(drawn) == len({tuple(r) for r in drawn})
+    assert {g: sum(r["lang"] == g for r in drawn) for g in "abcdefghz"} == dict.fromkeys("abcdefgh", 2) | {"z": 5}
+    for n in (1, 40):
+        drawn = language_id._sampled(docs, "text", "lang", n).collect()
+        assert sum(r["lang"] == "z" for r in drawn) == n and {r["lang"] for r in drawn} == {*"abcdefghz"}
+
+
 @pytest.mark.parametrize("high", [1, 2, 50_000, 2**32])
 def test_blocks_round_trip(high):
     rng = np.random.default_rng(4)
