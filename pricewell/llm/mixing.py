@@ -5,7 +5,8 @@ blocks of ``block`` tokens.  Slot t of the schedule is the t-th golden-ratio poi
 shares of the sources map it to a source, and its rank among that source's slots names the block that
 it takes (around the ring again for a second epoch).  Any stretch of the schedule has all sources near their
 shares.  The sequence ends when each source has its blocks; the last one is cut to the target, so the tokens
-taken are the targets rounded, and no source goes round more than ``most`` times.
+taken are the targets rounded, and no source goes round more than ``most`` times.  ``pieces`` gives the mix itself in
+this order; ``mix`` sums it up per document, and ``mixed`` has whole documents in the order of their first slots.
 
 A source may hold a third of all rows, so no task owns one: places on the ring are prefix sums over hash ranges
 of about 4,000 documents, ranks are prefix sums over chunks of 65,536 slots, and documents meet slots on
@@ -125,19 +126,23 @@ def schedule(spark, ranks: list[int]) -> DataFrame:
     main = lists.select("chunk", "ks", "befores").mapInArrow(expand, schema)
     # A source's count is off its share by a few slots; missing ranks follow at the end.
     met = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    short = [(k, met.get(k, 0), r) for k, r in enumerate(ranks) if met.get(k, 0) < r]
+    short, at = [], total
+    for k, r in enumerate(ranks):
+        if met.get(k, 0) < r:
+            short.append((k, met.get(k, 0), r, at))
+            at += r - met.get(k, 0)
     if not short:
         return main
-    tail = spark.createDataFrame(short, "k int, low long, high long")
-    tail = tail.select("k", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("rank"))
-    return main.unionAll(tail.select((F.lit(total) + F.col("rank")).alias("slot"), "k", "rank"))
+    tail = spark.createDataFrame(short, "k int, low long, high long, at long")
+    tail = tail.select("k", "low", "at", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("rank"))
+    return main.unionAll(tail.select((F.col("at") + F.col("rank") - F.col("low")).alias("slot"), "k", "rank"))
 
 
-def mix(
+def _dealt(
     documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, seed: str = "mix",
-) -> DataFrame:
-    """Per row: ``key, size, source_size, target`` (its source's) and ``taken`` (tokens, repeats counted)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts of rows with the slots that take them and how many ``tokens``; sources; rows of size 0."""
     spark = documents.sparkSession
     rows = stored(
         documents.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
@@ -160,8 +165,7 @@ def mix(
     )
     n = sum(r["n"] for r in totals)
     named = rows.join(F.broadcast(names), rows["source"].eqNullSafe(names["name"]))
-    columns = ["key", "size", "source_size", "target"]
-    empty = named.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
+    empty = named.filter("size = 0").select("key", "size", "source_size", "target")
     placed = _ring(named.filter("size > 0").select("key", "size", "h", "k"), n)
     parts = placed.select(
         "key", "k", "size", "begin",
@@ -169,29 +173,56 @@ def mix(
         .alias("block"),
     )
     slots = schedule(spark, ranks).join(F.broadcast(names), "k").select(
-        "k", (F.col("rank") % F.col("blocks")).alias("block"),
+        "k", "slot", (F.col("rank") % F.col("blocks")).alias("block"),
+        F.floor(F.col("rank") / F.col("blocks")).alias("turn"),
         # Tokens that the source gives before this slot, and where the slot ends on the ring.
         (F.col("take") - F.floor(F.col("rank") / F.col("blocks")) * F.col("source_size")).alias("until"),
     )
     ends = F.least((F.col("block") + 1) * block, "until", F.col("begin") + F.col("size"))
     # A block that no slot takes has no ``until``; least() would pass over that null.
     overlap = F.when(F.col("until").isNotNull(), F.greatest(F.lit(0), ends - F.greatest("begin", F.col("block") * block)))
+    dealt = parts.join(slots, ["k", "block"], "left").withColumn("tokens", F.coalesce(overlap, F.lit(0)).cast("long"))
+    return dealt.withColumn("from", F.greatest("begin", F.col("block") * block) - F.col("begin")), names, empty
+
+
+def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 2.0,
+        **options) -> DataFrame:
+    """Per row: ``key, size, source_size, target`` (its source's), ``taken`` (tokens, repeats counted) and ``slots``.
+
+    ``slots`` has the first slot of each time that the ring comes to the row, in order.
+    """
+    dealt, names, empty = _dealt(documents, key, text, source, most=most, **options)
+    columns = ["key", "size", "source_size", "target"]
+    # No source goes round more than ``most`` times, so these are few.
+    firsts = [F.min(F.when((F.col("tokens") > 0) & (F.col("turn") == t), F.col("slot"))) for t in range(math.ceil(most))]
     taken = (
-        parts.join(slots, ["k", "block"], "left")
-        .groupBy("key", "k", "size", "begin")
-        .agg(F.coalesce(F.sum(overlap), F.lit(0)).cast("long").alias("taken"))
+        dealt.groupBy("key", "k", "size", "begin")
+        .agg(F.sum("tokens").alias("taken"), F.array_compact(F.array(*firsts)).alias("slots"))
         .join(F.broadcast(names), "k")
     )
-    return taken.select(*columns, "taken").unionAll(empty)
+    none = empty.select(*columns, F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("slots"))
+    return taken.select(*columns, "taken", "slots").unionAll(none)
+
+
+def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix in its order: ``slot, key, from, to``, the tokens (from 0, without the last) that each slot takes."""
+    dealt, _, _ = _dealt(documents, key, text, source, **options)
+    taken = dealt.filter("tokens > 0").orderBy("slot", "begin", "key")
+    return taken.select("slot", "key", "from", (F.col("from") + F.col("tokens")).alias("to"))
+
 
+def mixed(documents: DataFrame, text: str = "text", source: str = "source", slot: str | None = None,
+          **options) -> DataFrame:
+    """The rows of ``documents`` in as many whole copies as the mix takes of them, nearest, in schedule order.
 
-def mixed(documents: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``documents`` in as many whole copies as the mix takes of them, nearest."""
-    row, copies, taken_row, copy = (private(n) for n in ("row", "copies", "taken", "copy"))
+    A copy stands at the first slot that takes from it, which goes into the column ``slot``, if named.
+    """
+    row, taken_row, slots, place = (private(n) for n in ("row", "taken", "slots", "slot"))
     numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     taken = mix(numbered, row, text, source, **options).filter("size > 0").select(
-        F.col("key").alias(taken_row), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies)
+        F.col("key").alias(taken_row), F.slice("slots", F.lit(1), copies).alias(slots)
     )
-    chosen = numbered.join(taken.filter(F.col(copies) > 0), F.col(row) == F.col(taken_row))
-    each = chosen.select("*", F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy))
-    return each.drop(row, copies, taken_row, copy)
+    chosen = numbered.join(taken.filter(F.size(slots) > 0), F.col(row) == F.col(taken_row))
+    each = chosen.select("*", F.explode(slots).alias(place)).orderBy(place, row).drop(row, taken_row, slots)
+    return each.drop(place) if slot is None else each.withColumnRenamed(place, slot)

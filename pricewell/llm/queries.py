@@ -191,7 +191,13 @@ FROM placed"""
 
 @query("op10_source_mix", MIX_SQL)
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("slots").withColumnRenamed("key", "doc_id")
+
+
+@query("op10_mix_order")
+def op10_mix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix that ``op10_source_mix`` sums up, in the order of its schedule."""
+    return mixing.pieces(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
 @query("op1_ann_tree")

@@ -132,6 +132,28 @@ def test_mix_meets_targets(frame):
     assert 330 < sum(r["k"] == 0 for r in slots[:500]) < 420
 
 
+def test_mix_keeps_the_order_of_the_schedule(spark):
+    rows = [(i, "w " * 16, s) for s, low in (("a", 0), ("b", 1000), ("c", 2000)) for i in range(low, low + 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["key"]: r["taken"] for r in mixing.mix(docs, block=16).collect()}
+    dealt = mixing.pieces(docs, block=16).collect()
+    assert [r["slot"] for r in dealt] == sorted(r["slot"] for r in dealt)
+    summed = dict.fromkeys(taken, 0)
+    for r in dealt:
+        assert 0 <= r["from"] < r["to"] <= 16
+        summed[r["key"]] += r["to"] - r["from"]
+    assert summed == taken
+    out = mixing.mixed(docs, block=16, slot="at").collect()
+    assert [r["at"] for r in out] == sorted(r["at"] for r in out)
+    plain = mixing.mixed(docs, block=16)
+    assert plain.columns == docs.columns
+    for order in ([r["source"] for r in out], [r["source"] for r in plain.collect()], ["abc"[r["key"] // 1000] for r in dealt]):
+        whole = {s: order.count(s) / len(order) for s in "abc"}
+        for low in range(0, len(order) - 100, 50):
+            part = order[low : low + 100]
+            assert all(abs(part.count(s) / 100 - whole[s]) < 0.05 for s in "abc")
+
+
 def test_surrogates_are_consistent_distinct_and_complete(frame):
     mails = [f"user{i}@host.example.com" for i in range(300)]
     docs = frame([(i, f"Write {m} or call +1 (017) 555-77{i % 90 + 10}.", None, None) for i, m in enumerate(mails)] + [
