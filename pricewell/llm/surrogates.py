@@ -1,11 +1,13 @@
 """Replace personal data by surrogates: keyed, of the same type and format, distinct and consistent.
 
 Patterns find mail addresses, IPv4 addresses, phone, card, social-security and account numbers, secrets, and
-people named after a title.  A mention's *canonical form* drops what varies between mentions of one entity
+people named after a title, or several, with all their capitalised words, initials and particles.  A mention's *canonical form* drops what varies between mentions of one entity
 (case, and separators in numbers); each word of a name is an entity, so "Mr. Jan Vos" and "Mr. Vos"
-still name one person.  SHA-256 of key, type, canonical form and draw number gives a candidate that keeps the
+still name one person.  Whether a word is a given name, and its gender, are settled over the whole corpus: it is one if it
+ever stands before another, with the gender of most titles that it follows (none if they are even), so "Dr. Anna Vos",
+"Mrs. Anna Vos" and "Mrs. Anna" agree.  SHA-256 of key, type, canonical form and draw number gives a candidate that keeps the
 format: digits stay digits, letters letters in their case, hex stays hex, numbers keep their first
-digit, mail keeps its top domain, names keep the gender of their title and their script.
+digit, mail keeps its top domain, names keep their gender and script, one plain word for each word.
 
 Candidates are checked over the whole corpus: of entities with the same candidate only the first keeps it,
 and no candidate may equal a real value of its type; the others draw again until none collides.  The mapping
@@ -31,8 +33,21 @@ OTHER = ["Dr", "Prof"]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "(?:" + "|".join(MALE + FEMALE + OTHER) + r")\.?"
+_TITLES = _TITLE + r"(?: (?:Dr|Prof)\.?(?= ))*"
 _WORD = r"\w\u00C0-\u024F\u0370-\u04FF"  # letters and digits as ranges, which are fast to test
 _LEFT, _RIGHT = rf"(?<![{_WORD}])", rf"(?![{_WORD}])"
+# Lower-case words inside names.
+PARTICLES = ("van von vom de der den het 't ter ten te zu zum zur af av du des da das do dos del della dello degli di la le "
+             "lo los las el al bin bint ibn ben abu san фон де ван дер").split()
+_INSIDE = rf"(?:(?:{'|'.join(PARTICLES)})|(?:\p{{Lu}}\.-?)+) "
+#: A capitalised word with hyphens and apostrophes (not the possessive), and with a prefix as in d'Artagnan; neither
+#: the next title nor the beginning of an address.
+_NAME_WORD = (
+    rf"(?!(?:{'|'.join(t for t in MALE + FEMALE + OTHER if t not in ('Don', 'Doña'))})(?:\.|(?= \p{{Lu}})))"
+    rf"(?:\p{{Ll}}{{1,4}}['’-])?\p{{Lu}}(?:[\p{{L}}\p{{M}}]|-(?=\p{{L}})|['’](?=\p{{L}})(?!s(?!\p{{L}})))+"
+    rf"(?![{_WORD}]|[{_WORD}.%+-]*@)"
+)
+_NAME = rf"(?:{_INSIDE})*{_NAME_WORD}(?: (?:{_INSIDE})*{_NAME_WORD})*"
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "email": rf"(?<![{_WORD}.%+-])[{_WORD}.%+-]++@[{_WORD}-]+(?:\.[{_WORD}-]+)*\.\p{{L}}{{2,}}",
@@ -43,7 +58,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
              r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<!-)\d{3}[-.]\d{3}[-.]\d{4}(?!\d|-\d))",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)",
-    "name": rf"{_LEFT}{_TITLE} \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"{_LEFT}{_TITLES} (?:{_NAME}|\p{{Lu}}\p{{L}}+)",
 }
 #: All of them, behind one look at what a match can begin with, so that most places are left at once.
 PATTERN = (
@@ -80,21 +95,49 @@ def _script(word: Column) -> Column:
             .otherwise("latin"))
 
 
+def _titles(mention: Column) -> Column:
+    """The titles that a name begins with, and the space behind them."""
+    return F.regexp_extract(mention, rf"^{_TITLES} ", 0)
+
+
+def _name_words(mention: Column) -> Column:
+    """The words behind the titles of a name."""
+    return F.split(F.regexp_replace(mention, rf"^{_TITLES} ", ""), " ")
+
+
 def _parts(mention: Column, kind: Column) -> Column:
-    """The entities of a mention: (type, canonical form) structs; a name has one per word behind its title."""
-    words = F.slice(F.split(mention, " "), 2, 3)
-    title = F.rtrim(F.element_at(F.split(mention, " "), 1), F.lit("."))
-    gender = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("x")
+    """The entities of a mention: (type, canonical form, role) structs; a name has one per word behind its titles."""
+    words = _name_words(mention)
+    titles = F.transform(F.split(F.rtrim(_titles(mention)), " "), lambda t: F.rtrim(t, F.lit(".")))
+    gender = (F.when(F.arrays_overlap(titles, F.array(*map(F.lit, MALE))), "m")
+              .when(F.arrays_overlap(titles, F.array(*map(F.lit, FEMALE))), "f").otherwise("x"))
     whole = F.when(kind.isin(NUMBERS), F.regexp_replace(F.lower(mention), r"[^\p{L}\p{N}]", "")).otherwise(F.lower(mention))
-    # The last word is a surname, which has no gender of its own.
+
+    def role(w: Column, i: Column) -> Column:
+        # The last word and particles are a surname, which has no gender; an only word may be either.
+        return (F.when(w.isin(PARTICLES), "surname").when(F.size(words) == 1, F.concat(F.lit("only-"), gender))
+                .when(i < F.size(words) - 1, F.concat(F.lit("given-"), gender)).otherwise("surname"))
+
     names = F.transform(words, lambda w, i: F.struct(
-        F.concat(F.when(i < F.size(words) - 1, F.concat(F.lit("given-"), gender)).otherwise(F.lit("surname-x")),
-                 F.lit("-"), _script(w)).alias("type"),
-        F.lower(w).alias("canon")))
-    single = F.array(F.struct(kind.alias("type"), whole.alias("canon")))
+        F.concat(F.lit("name-"), _script(w)).alias("type"), F.regexp_replace(F.lower(w), "’", "'").alias("canon"),
+        role(w, i).alias("role")))
+    single = F.array(F.struct(kind.alias("type"), whole.alias("canon"), F.lit("").alias("role")))
     return F.when(kind == "name", names).otherwise(single)
 
 
+def resolved(found: DataFrame) -> DataFrame:
+    """Distinct ``type, canon`` of entities, name words with one type each: given with a gender, or surname."""
+    role = F.col("role")
+    votes = found.groupBy("type", "canon").agg(
+        F.max(role.startswith("given")).alias("given"), F.count_if(role.endswith("-m")).alias("m"),
+        F.count_if(role.endswith("-f")).alias("f"),
+    )
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("m") < F.col("f"), "f").otherwise("x")
+    of = F.when(F.col("given"), F.concat(F.lit("given-"), gender)).otherwise("surname-x")
+    name = F.concat(of, F.regexp_replace("type", "^name", ""))
+    return votes.select(F.when(F.col("type").startswith("name-"), name).otherwise(F.col("type")).alias("type"), "canon")
+
+
 def _digest(key: str, i: Column | int) -> Column:
     """64 hex digits that depend on key, entity, draw and block ``i``."""
     return F.sha2(F.concat_ws("|", F.lit(key), "type", "canon", F.col("draw").cast("string"),
@@ -151,12 +194,12 @@ def with_mentions(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def entities_of(held: DataFrame) -> DataFrame:
-    """``doc, version, at, part, mention, type, canon``: a row per entity of each mention, in order."""
+    """``doc, version, at, part, mention, type, canon, role``: a row per entity of each mention, in order."""
     each = held.select("doc", "version", F.posexplode("found").alias("at", "mention"))
     each = each.distinct()  # repeated rows have the same mentions
     return each.select("*", _type(F.col("mention")).alias("kind")).select(
         "doc", "version", "at", "mention", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("part", "e")
-    ).select("doc", "version", "at", "part", "mention", "e.type", "e.canon")
+    ).select("doc", "version", "at", "part", "mention", "e.type", "e.canon", "e.role")
 
 
 def surrogate_map(entities: DataFrame, key: str) -> DataFrame:
@@ -189,8 +232,9 @@ def _worded(mention: Column, surrogate: Column, kind: Column) -> Column:
 
     filled = F.array_join(F.transform(F.split(mention, ""), fill), "")
     plain = F.when(kind.isin(NUMBERS), filled).otherwise(surrogate)
-    plain = F.when(kind.rlike("^(given|surname)"), F.initcap(surrogate)).otherwise(plain)
-    return F.when(upper, F.upper(plain)).otherwise(plain)
+    name, letters = kind.startswith("name-"), F.char_length(F.regexp_replace(mention, r"[^\p{L}]", ""))
+    plain = F.when(name & (mention != F.lower(mention)), F.initcap(surrogate)).otherwise(plain)
+    return F.when(upper & ~(name & (letters == 1)), F.upper(plain)).otherwise(plain)
 
 
 def with_surrogates(documents: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,21 +242,22 @@ def with_surrogates(documents: DataFrame, key: str, doc_id: str = "doc_id", text
     spark = documents.sparkSession
     texts = stored(with_mentions(documents, doc_id, text), "texts")
     found = stored(entities_of(texts), "mentions")
-    mapping = surrogate_map(stored(found.select("type", "canon").distinct(), "entities"), key)
+    mapping = surrogate_map(stored(resolved(found), "entities"), key)
+    mapping = mapping.withColumn("type", F.regexp_replace("type", "^(given-.|surname-x)-", "name-"))
     at = ["doc", "version"]
-    word = F.when(F.col("type").rlike("^(given|surname)"), F.get(F.split("mention", " "), F.col("part") + 1)).otherwise(
-        F.col("mention"))
+    mention = F.col("mention")
+    word = F.when(F.col("type").startswith("name-"), F.get(_name_words(mention), F.col("part"))).otherwise(mention)
     replaced = (
         found.join(mapping, ["type", "canon"])
         .select(*at, "at", "part", "mention", "type", _worded(word, F.col("surrogate"), F.col("type")).alias("new"))
         .repartition(shuffle_width(spark), *at)
         .groupBy(*at, "at", "mention")
         .agg(F.sort_array(F.collect_list(F.struct("part", "new"))).alias("words"), F.first("type").alias("type"))
-        .withColumn("new", F.when(F.col("type").rlike("^(given|surname)"), F.concat_ws(
-            " ", F.element_at(F.split("mention", " "), 1), F.array_join("words.new", " "))).otherwise(F.col("words")[0]["new"]))
+        .withColumn("new", F.when(F.col("type").startswith("name-"), F.concat(
+            _titles(mention), F.array_join("words.new", " "))).otherwise(F.col("words")[0]["new"]))
         .groupBy(*at)
         .agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news"),
-             F.array_sort(F.collect_set(F.regexp_replace("type", "^(given|surname).*", "name"))).alias("types"))
+             F.array_sort(F.collect_set(F.regexp_replace("type", "^name-.*", "name"))).alias("types"))
     )
     joined = texts.join(
         replaced.withColumnsRenamed({"doc": "d", "version": "v"}),

@@ -169,3 +169,27 @@ def test_surrogates_are_consistent_distinct_and_complete(frame):
     assert words[0] == "Mr." and words[2] == words[6] and words[1].endswith("n") and words[5].endswith("na")
     assert all("а" <= c.lower() <= "я" for c in got[904].split()[1])
     assert not surrogates.with_surrogates(docs.limit(0), "key").collect()
+
+
+def test_no_word_of_a_name_stays(spark):
+    names = ["Mr. Juan Carlos Garcia", "Mr. Jean-Luc Picard", "Mrs. Anna van Dijk", "Mr. O'Brien", "Prof. Dr. Eva Horn",
+             "Mr. JAN VOS", "Sr. de la Cruz", "Mr. John F. Kennedy", "Herr Dr. Max d'Artagnan", "Dr. Anna Vos", "Mrs. Anna Vos",
+             "Mr. Jan", "Mr. Jan Vos", "Mr. Vos's", "Г-жа Анна фон Мейер"]
+    rows = [(i, f"so {n}, who left") for i, n in enumerate(names)]
+    rows += [(50, "Mr. Jan Vos Mrs. Anna Vos"), (51, "Mr. Jan Vos Anna.Vos@host.example.com"),
+             (52, "Mr. Jan Vos DE89370400440532013000 end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.with_surrogates(docs, "key").collect()}
+    assert set(got) == {i for i, _ in rows}
+    titles = {"Mr.", "Mrs.", "Dr.", "Prof.", "Sr.", "Herr", "Г-жа"}
+    for i, n in enumerate(names):
+        left = got[i].removeprefix("so ").removesuffix(", who left").removesuffix("'s").split(" ")
+        assert len(left) == len(n.split(" "))
+        for old, new in zip(n.split(" "), left):
+            assert (old == new) == (old in titles), (n, got[i])
+    word = lambda i, at: got[i].replace(",", "").removesuffix(" who left").split(" ")[at]
+    assert word(9, 2) == word(10, 2) and word(9, 2).endswith("na") and word(9, 3) == word(10, 3) == word(12, 3)
+    assert word(11, 2) == word(12, 2) and word(12, 2).endswith("n")
+    assert got[50].split()[0::3] == ["Mr.", "Mrs."] and got[50].split()[2] == got[50].split()[5] == word(9, 3)
+    assert "Vos" not in got[51] and got[51].count("@") == 1 and "Anna" not in got[51]
+    assert "370400440532013000" not in got[52] and got[52].endswith(" end")
