@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.llm import (
-    ann_tree, decontaminate, language_id, line_dedup, mixing, sharding, simhash_gray, surrogates, token_blocks,
-    url_cascade,
+    ann_tree, chosen_path, conversation_repair, decontaminate, language_id, line_dedup, mixing, sharding, simhash_gray,
+    spelling, surrogates, token_blocks, url_cascade,
 )
 from pricewell.plans.session import use_local_folder
 
@@ -212,3 +213,216 @@ def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_surrogates")
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(table(spark, sf_dir, "documents"), key="surrogates of the test tables")
+
+
+CRC_TABLE_SQL = """crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i))"""
+
+
+def _crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8, with ``crc_table`` joined."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen({text})),
+      lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id || ':' || run AS name, run, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (SELECT run, c, {_crc_sql("name")} AS h FROM counted, crc_table),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+  FROM hashed),
+vocabulary AS (
+  SELECT word, sum(c)::BIGINT AS n FROM words GROUP BY word HAVING length(word) >= 6 AND sum(c) >= 5),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+holes AS (
+  SELECT word, left(word, i - 1) || '_' || substr(word, i + 1) AS hole, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM places),
+near AS (
+  SELECT a.word, b.word AS other FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT h.word, v.word FROM holes h JOIN vocabulary v ON h.rest = v.word
+  UNION SELECT v.word, h.word FROM holes h JOIN vocabulary v ON h.rest = v.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY o.n DESC, other) AS other, max(o.n) AS other_n
+  FROM near JOIN vocabulary o ON o.word = near.other GROUP BY near.word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form,
+         CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+  FROM vocabulary v LEFT JOIN best b ON v.word = b.word),
+steps AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT s.word, f.word, f.form FROM steps s JOIN formed f ON s.next = f.word)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON f.word = s.word AND s.next IS NULL"""
+
+
+def misspelt(doc_id):
+    """The misspellings that the query's contract plants: of about one run in 199, a letter goes."""
+    begin = zlib.crc32(f"{'null' if doc_id is None else doc_id}:".encode())
+
+    def change(run: str) -> str:
+        h = zlib.crc32(run.encode(), begin)
+        if h % 199:
+            return run
+        return run[: h % len(run)] + run[h % len(run) + 1 :]
+
+    return change
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), least_length=6, least_count=5, alter=misspelt)
+    return spelling.variants(counts, ratio=5)
+
+
+def _least_sql(*labels: str) -> str:
+    return f"least({', '.join(labels)})"
+
+
+def _edit_sql(label: str, cost: str, letter: str) -> str:
+    """A label is the cost in nine digits and the audit; X is none."""
+    return (f"CASE WHEN {label} = 'X' THEN 'X' "
+            f"ELSE lpad((left({label}, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({label}, 10) || '{letter}' END")
+
+
+def _let_sql(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _repair_sql() -> str:
+    def inserted(v: str) -> str:
+        """Labels of the states nothing, system, user, assistant after any inserts."""
+        user = f"[{v}[1], {v}[2], {_least_sql(f'{v}[3]', *(_edit_sql(f'{v}[{i}]', '3', 'I') for i in (1, 2, 4)))}, {v}[4]]"
+        return _let_sql(user, "w", f"[w[1], w[2], w[3], {_least_sql('w[4]', _edit_sql('w[3]', '3', 'I'))}]")
+
+    extra = "CASE WHEN x[2] = '3' THEN 3 ELSE 0 END"
+
+    def kept(state: int, initial: str) -> str:
+        return f"CASE WHEN x[1] = '{initial}' AND x[2] IN ('0', '3') THEN {_edit_sql(f's[{state}]', extra, 'K')} ELSE 'X' END"
+
+    def reroled(state: int) -> str:
+        return f"CASE WHEN x[2] IN ('0', '3') THEN {_edit_sql(f's[{state}]', f'3 + {extra}', 'R')} ELSE 'X' END"
+
+    def deleted(state: int) -> str:
+        return _edit_sql(f"s[{state}]", "4", "D")
+
+    read = ", ".join([
+        deleted(1), _least_sql(deleted(2), kept(1, "s")),
+        _least_sql(deleted(3), *(f(i, *a) for i in (1, 2, 4) for f, a in ((kept, "u"), (reroled, ())))),
+        _least_sql(deleted(4), kept(3, "a"), reroled(3)),
+    ])
+    return _let_sql(f"[{read}]", "v", inserted("v"))
+
+
+_SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+REPAIR_SQL = f"""
+WITH {CRC_TABLE_SQL},
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hit AS (SELECT conv_id, turn, role, text, {_crc_sql("name")} % 20 AS k FROM named, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN ''
+    WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, range(2) AS copies(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM ordered),
+judged AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN trim(text, {_SPACE_SQL}) = '' THEN 1 WHEN nth > 1 THEN 2
+    WHEN right(rtrim(text, {_SPACE_SQL}), 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier
+  FROM placed),
+grouped AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+         list([initial, fault::VARCHAR] ORDER BY i) AS pairs
+  FROM judged GROUP BY conv_id),
+solved AS (
+  SELECT * EXCLUDE (pairs), list_reduce(list_prepend(['000000000', 'X', '000000003I', '000000006II'], pairs),
+    lambda s, x: {_repair_sql()}) AS s FROM grouped),
+chosen AS (SELECT * EXCLUDE (s), left(least(s[1], s[4]), 9)::BIGINT AS cost, substr(least(s[1], s[4]), 10) AS audit FROM solved),
+edits AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS e, generate_subscripts(string_split(audit, ''), 1) AS p
+  FROM chosen WHERE audit <> ''),
+counted AS (
+  SELECT *, count(*) FILTER (WHERE e <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i,
+         count(*) FILTER (WHERE e <> 'D') OVER (PARTITION BY conv_id ORDER BY p) AS m FROM edits),
+joined AS (
+  SELECT c.*, j.role, j.text, j.initial,
+         bool_or(m = 1 AND e = 'K' AND j.initial = 's') OVER (PARTITION BY c.conv_id) AS opened
+  FROM counted c LEFT JOIN judged j ON c.e <> 'I' AND c.conv_id IS NOT DISTINCT FROM j.conv_id AND c.i = j.i
+  WHERE e <> 'D'),
+hashed AS (
+  SELECT conv_id, sha256(string_agg(
+    CASE WHEN e = 'K' THEN role WHEN (m - CASE WHEN opened THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY p)) AS repaired_sha256 FROM joined GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN chosen c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN hashed h ON o.conv_id IS NOT DISTINCT FROM h.conv_id"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows with the faults that the query's contract plants; nulls read as one space."""
+    blank = F.lit(" ")
+    name = F.concat(*(F.coalesce(F.col(c).cast("string"), blank) if c else F.lit(":") for c in ("conv_id", "", "turn")))
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        (F.crc32(name.cast("binary")) % 20).alias("k"),
+    ).filter("k <> 0")
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("k") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("k") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = conversation_repair.diagnosed(damaged(conversations))
+    plan = conversation_repair.repairs(rows)
+    hashes = conversation_repair.digests(conversation_repair.repaired(rows, plan, whole=True))
+    hashes = hashes.withColumnsRenamed({"conv": "hashed", "sha256": "repaired_sha256"})
+    found = conversation_repair.summary(rows, plan)
+    found = found.join(hashes, F.col("conv").eqNullSafe(F.col("hashed")), "left").drop("hashed")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return every.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+SHINGLES_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)),
+    lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (
+  SELECT doc_id, doc_id AS r FROM sets UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.r = links.a),
+least AS (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, component_id, sets.doc_id = component_id AS kept
+FROM sets JOIN least ON sets.doc_id = least.doc_id"""
+
+
+@query("op13_chosen_path", SHINGLES_SQL)
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_duplicates(table(spark, sf_dir, "documents"), shingle=5, threshold=85)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.withColumn("kept", kept)
