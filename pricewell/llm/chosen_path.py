@@ -6,16 +6,17 @@ documents with one value there go on together.  A pair at the threshold is expec
 level, a less similar one dies out.  Small nodes are compared exhaustively, large ones branch on, and
 ``trees`` independent trees bring the chance of finding a pair at the threshold to ``recall``.
 
-Equal sets are one class, so copies cost nothing.  On the first level every document is compared with its node's
-centre (the least by a hash); groups of thousands of near copies become components there.  From then on only
-documents of different components are compared, and a node that one component fills is closed: components are
-what is asked for, so pairs inside them are never written.  Nodes branch as long as any is large; there is no
+Equal sets are one class, so copies cost nothing.  Before it branches, every document of a large node is compared
+with the node's centres (the least by some hashes); groups of thousands of near copies become components
+there.  Only documents of different components are compared, and a node that one component fills is closed: components
+are what is asked for, so pairs inside them are never written.  Nodes branch as long as any is large; there is no
 cap on levels, candidates or partners.  All trees advance together, one level at a time; a node is a number in a
 table, never a list on the driver, and only nodes of at most ``SMALL`` documents are gathered.
 
 A candidate has equal minwise values (one byte of each is kept as the sketch) in a share that a pair at the threshold
 misses by four standard deviations at most.  Candidates are confirmed on the full shingle sets, made anew for the
-documents that need it.
+documents that need it.  A small node gives one row per document that has a candidate, meets again with their full sets,
+and returns the links that join its components, fewer than its documents.
 
 Defined cases: fewer words than the shingle has are one shingle of all of them; null or empty text has an empty set,
 which links with nothing; repeated rows and ids share the least id reached; rows without an id are linked too
@@ -39,7 +40,9 @@ from pricewell.plans.session import ship_package
 
 #: Minwise values per set, one byte each; documents of a node that is compared exhaustively.
 SIZE = 128
-SMALL = 500
+SMALL = 2000
+#: Centres of a large node.
+CENTRES = 3
 #: Levels that the number of trees is reckoned for.
 DEPTH = 3
 #: Row keys up to this number are broadcast to the scan that makes full sets (16 bytes each); more are joined by shuffle.
@@ -182,15 +185,12 @@ def promising(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
     return sized.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str, shingle: int,
-              threshold: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the threshold, written."""
-    spark = pairs.sparkSession
-    pairs = stored(pairs, "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls")
-    wanted = stored(wanted.select("cls", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash")), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+def full_sets(wanted: DataFrame, classes: DataFrame, documents: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """``cls, members``: the full shingle sets of the classes ``cls``, written."""
+    keys = wanted.join(classes, "cls").select("cls", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
+    keys = stored(keys, "wanted")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
 
     def full(batches):
         for batch in batches:
@@ -200,10 +200,15 @@ def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cls", "members"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(*_row_key(), "text")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    sets = texts.select("cls", "text").mapInArrow(full, "cls long, members array<long>")
-    # Repeated rows make one set several times; keys of the sets decide, so any of them will do.
-    sets = stored(sets, "sets").groupBy("cls").agg(F.first("members").alias("members"))
+    texts = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    sets = stored(texts.select("cls", "text").mapInArrow(full, "cls long, members array<long>"), "sets")
+    return sets.groupBy("cls").agg(F.first("members").alias("members"))  # repeated rows make one set several times
+
+
+def confirmed(pairs: DataFrame, threshold: int, *source) -> DataFrame:
+    """The pairs ``a, b`` whose full sets reach the threshold, written."""
+    pairs = stored(pairs, "candidates")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), *source)
 
     def check(batches):
         for batch in batches:
@@ -221,76 +226,124 @@ def confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, doc_id
     return stored(met.mapInArrow(check, "a long, b long"), "confirmed")
 
 
-def exhausted(leaves: DataFrame, threshold: int) -> DataFrame:
-    """Pairs ``a < b`` of different components in small nodes (``node, cls, comp, n, sketch``) that look similar."""
+def _by_node(batches):
+    """The rows of sorted batches, node by node, as columns."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for _, group in groupby(rows, key=lambda row: row[0]):
+        yield tuple(zip(*group))
+
+
+def with_candidates(leaves: DataFrame, threshold: int) -> DataFrame:
+    """The rows ``node, cls`` of small nodes (``node, cls, comp, n, sketch``) that look similar to another component's."""
     least = least_agreement(threshold)
 
     def search(batches):
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        found: list[tuple[int, int]] = []
-        for _, group in groupby(rows, key=lambda row: row[0]):
-            _, cls, comp, n, sketch = zip(*group)
-            cls, comp, n = np.array(cls), np.array(comp), np.array(n)
+        out: list[tuple[int, int]] = []
+        for node, cls, comp, n, sketch in _by_node(batches):
+            comp, n, hot = np.array(comp), np.array(n), np.zeros(len(cls), dtype=bool)
             values = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(-1, SIZE)
             for i in range(len(cls) - 1):
                 other = np.flatnonzero((comp[i + 1 :] != comp[i]) & (
                     100 * np.minimum(n[i + 1 :], n[i]) >= threshold * np.maximum(n[i + 1 :], n[i]))) + i + 1
                 near = other[(values[other] == values[i]).sum(axis=1) >= least] if len(other) else other
-                found.extend((min(cls[i], c), max(cls[i], c)) for c in cls[near].tolist())
-            if len(found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+                hot[near] = True
+                hot[i] |= len(near) > 0
+            out.extend((node[0], cls[i]) for i in np.flatnonzero(hot))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "cls"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["node", "cls"])
 
     dealt = leaves.select("node", "cls", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(search, "node long, cls long")
+
+
+def joined_exactly(hot: DataFrame, threshold: int) -> DataFrame:
+    """Links ``a, b`` that join the components of small nodes (``node, cls, comp, members``), by their full sets."""
+
+    def join(batches):
+        out: list[tuple[int, int]] = []
+        for _, cls, comp, members in _by_node(batches):
+            names, comp = np.unique(np.array(comp), return_inverse=True)
+            sizes = np.array([len(m) for m in members])
+            universe, place = np.unique(np.concatenate(members), return_inverse=True)
+            starts = np.cumsum(sizes) - sizes
+            for i in range(len(cls) - 1):
+                if (comp[i + 1 :] == comp[i]).all():
+                    continue
+                held = np.zeros(len(universe), dtype=np.int64)
+                held[place[starts[i] : starts[i] + sizes[i]]] = 1
+                both = np.add.reduceat(held[place[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+                for j in np.flatnonzero(100 * both >= threshold * (sizes[i] + sizes[i + 1 :] - both)) + i + 1:
+                    if comp[i] != comp[j]:
+                        out.append((min(cls[i], cls[j]), max(cls[i], cls[j])))
+                        comp[comp == comp[j]] = comp[i]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    dealt = hot.select("node", "cls", "comp", "members").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(join, "a long, b long")
 
 
 def _nodes(members: DataFrame) -> DataFrame:
-    """``node, size, centre`` of the nodes that hold more than one class, counted before the shuffle."""
-    sized = members.groupBy("node").agg(
-        F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "cls").alias("h"), "cls")).alias("least"))
-    return sized.filter("size > 1").select("node", "size", F.col("least.cls").alias("centre"))
+    """``node, size`` of the nodes that hold more than one class, counted before the shuffle."""
+    return members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of the rows ``node, cls, comp`` with their nodes' centres in other components."""
+    def least(k: int) -> Column:
+        return F.min(F.struct(F.xxhash64(F.lit(k), "node", "cls").alias("h"), "cls", "comp"))
+
+    centres = rows.groupBy("node").agg(F.array(*(least(k) for k in range(CENTRES))).alias("c"))
+    met = rows.join(centres.select("node", F.explode("c").alias("c")), "node").filter(F.col("comp") != F.col("c.comp"))
+    return met.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    named = members.join(labels, members["cls"] == labels["node_"], "left")
-    return named.select(*members.columns, F.coalesce("root", "cls").alias("comp"))
+def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``node, cls, size, comp`` of the nodes that hold more than one component."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("cls"))
+    named = rows.select("node", "cls", "size").join(labels, F.col("cls") == F.col("labelled"), "left")
+    named = stored(named.select("node", "cls", "size", F.coalesce("root", "cls").alias("comp")), "labelled")
+    mixed = named.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return named.join(mixed.filter("low <> high").select("node"), "node")
 
 
 def links(classes: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
           threshold: int = 85, recall: float = 0.999) -> DataFrame:
     """``a, b``: confirmed links that join all classes within the threshold (at ``recall`` for each pair)."""
-    exact = (classes, documents, doc_id, text, shingle, threshold)
+    source = (classes, documents, doc_id, text, shingle)
     trees = trees_for(recall, threshold)
-    first = stored(branched(classes.select("cls", "minwise"), trees, threshold), "first-level")
-    nodes = stored(_nodes(first), "nodes")
-    members = stored(first.join(nodes, "node"), "members")
-    # Every class meets the centre of its node: one pair per row, whatever the node's size.
-    stars = members.filter("cls <> centre").select(
-        F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
-    found = confirmed(promising(stars, classes, threshold), *exact)
-    labels = stored(components(found).withColumnRenamed("node", "node_"), "labels")
-
-    leaves = []
-    level = members.filter("size > 2").select("node", "cls", "size")  # a node of two has met its centre
+    level = branched(classes.select("cls", "minwise"), trees, threshold)
+    found, labels, leaves = None, None, []
     while True:
-        open_rows = stored(_labelled(level, labels), "labelled")
-        mixed = open_rows.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        mixed = stored(mixed.filter("low <> high").select("node"), "open-nodes")
-        open_rows = stored(open_rows.join(mixed, "node"), "open")
-        leaves.append(open_rows.filter(F.col("size") <= SMALL).select("node", "cls", "comp"))
-        large = open_rows.filter(F.col("size") > SMALL).select("node", "cls")
+        level = stored(level, "level")
+        level = stored(level.join(_nodes(level), "node"), "members")
+        rows = _open(level, labels)
+        leaves.append(rows.filter(F.col("size") <= SMALL).select("node", "cls", "size"))
+        large = stored(rows.filter(F.col("size") > SMALL), "large")
         if not large.limit(1).count():
             break
-        below = stored(branched(large.join(classes.select("cls", "minwise"), "cls"), trees, threshold), "level")
-        level = below.join(_nodes(below).select("node", "size"), "node")
+        near = confirmed(promising(_stars(large), classes, threshold), threshold, *source)
+        found = near if found is None else found.unionAll(near)
+        labels = stored(components(found).withColumnRenamed("node", "labelled"), "labels")
+        still = _open(large, labels).select("node", "cls")
+        level = branched(still.join(classes.select("cls", "minwise"), "cls"), trees, threshold)
     at_leaves = leaves[0]
     for more in leaves[1:]:
         at_leaves = at_leaves.unionAll(more)
-    pairs = exhausted(at_leaves.join(classes.select("cls", "n", "sketch"), "cls"), threshold)
-    return found.unionAll(confirmed(pairs, *exact))
+    rows = stored(_open(at_leaves, labels), "leaves")
+    sketched_rows = rows.join(classes.select("cls", "n", "sketch"), "cls")
+    hot = stored(with_candidates(sketched_rows, threshold), "hot")
+    sets = full_sets(hot.select("cls").distinct(), *source)
+    hot = hot.join(rows.select("node", "cls", "comp"), ["node", "cls"]).join(sets, "cls")
+    joined = stored(joined_exactly(hot, threshold), "joined")
+    return joined if found is None else found.unionAll(joined)
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
