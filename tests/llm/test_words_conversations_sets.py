@@ -194,7 +194,7 @@ def plain_components(rows, shingle, threshold):
     return Counter((r[0], len(s), r[0] if not s else least.get(root(i))) for i, (r, s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("small", [3, 500])
+@pytest.mark.parametrize("small", [25, 2000])
 def test_components_equal_brute_force(spark, frame, monkeypatch, small):
     monkeypatch.setattr(chosen_path, "SMALL", small)
     rng = random.Random(small)
