@@ -89,6 +89,37 @@ def test_tree_forecast_first_step_is_the_direct_one(panel):
     assert len(gbt.importances(model)) == len(gbt.FEATURES)
 
 
+def test_walked_trees_equal_the_model(panel):
+    from pyspark.ml.functions import vector_to_array
+
+    from pricewell.operators.features import feature_frame
+
+    model = gbt.fit(panel, gbt.TreeSettings(trees=12, depth=5, tolerance=0.0))
+    rows = gbt.training_frame(feature_frame(panel)).select(vector_to_array("features").alias("x"), "features").limit(500)
+    both = gbt.with_forest(model.transform(rows), model).select("prediction", gbt.walked(F.col("x")).alias("w")).collect()
+    assert [r["w"] for r in both] == pytest.approx([r["prediction"] for r in both], rel=1e-9)
+    assert gbt.node_table(model, panel.sparkSession).where("below < 0").count() > model.getNumTrees
+    # every step of the fold is what the model says for the row of the values before it
+    got = [r["forecast"] for r in gbt.forecast(model, panel, 4, None).where("state = 's2'").orderBy("step").collect()]
+    last = panel.where("state = 's2'")
+    for k, value in enumerate(got):
+        one = gbt.forecast(model, last, 1, None).first()["forecast"]
+        assert one == pytest.approx(value, rel=1e-9)
+        day = last.agg(F.max("date").alias("d")).first()["d"] + dt.timedelta(days=1)
+        last = last.unionAll(panel.sparkSession.createDataFrame([("c", "s2", day, one)], last.select("commodity", "state", "date", "y").schema)
+                             .select(*last.columns)) if len(last.columns) == 4 else last
+
+
+def test_boosting_stops_by_the_held_out_error(panel):
+    from pricewell.operators.features import feature_frame
+
+    frame = feature_frame(panel)
+    stopped = gbt.fit_frame(frame, gbt.TreeSettings(trees=40, depth=3, tolerance=0.05))
+    assert stopped.getNumTrees < 40
+    curve = gbt.error_curve(stopped, frame)
+    assert len(curve) == stopped.getNumTrees and curve[-1] == min(curve)
+
+
 def test_ensemble_by_hand(spark):
     key = "commodity string, state string, "
     day = dt.date(2024, 1, 1)
