@@ -55,7 +55,8 @@ eta AS (SELECT commodity, state, sum(s * s) AS eta FROM (
   SELECT commodity, state, sum(y - m) {over} AS s FROM (
     SELECT *, avg(y) OVER ({k}) AS m FROM dense)) GROUP BY commodity, state)""".format(over=OVER.replace("date)", "date ROWS UNBOUNDED PRECEDING)"), k=K)
 _KPSS_OUT = """
-SELECT commodity, state, n, kpss_lags, round(stat, 6) AS kpss_stat, round(p, 6) AS kpss_p, p >= 0.05 AS kpss_stationary FROM (
+SELECT commodity, state, n, kpss_lags, round(stat, 6) AS kpss_stat, round(p, 6) AS kpss_p, p >= 0.05 AS kpss_stationary,
+       0.347::DOUBLE AS kpss_crit_10, 0.463::DOUBLE AS kpss_crit_5, 0.574::DOUBLE AS kpss_crit_2_5, 0.739::DOUBLE AS kpss_crit_1 FROM (
   SELECT *, CASE WHEN stat <= 0.347 THEN 0.10
                  WHEN stat <= 0.463 THEN 0.10 + (stat - 0.347) / (0.463 - 0.347) * (0.05 - 0.10)
                  WHEN stat <= 0.574 THEN 0.05 + (stat - 0.463) / (0.574 - 0.463) * (0.025 - 0.05)
@@ -74,8 +75,86 @@ add("kpss_fixed_lag", lambda s, d: _round(S.kpss_test(panel(s, d), 10), kpss_sta
     _KPSS_OUT, ctes=BASE + [_acov("dense", 10), _KPSS, "lagged AS (SELECT *, 10 AS kpss_lags FROM acov)"])
 add("kpss_auto_lag", lambda s, d: _round(S.kpss_test(panel(s, d)), kpss_stat=6, kpss_p=6),
     _KPSS_OUT, ctes=BASE + [_acov("dense", 64), _KPSS, _AUTO])
-add("adf_test", lambda s, d: S.adf_test(panel(s, d)))
-add("check_stationarity", lambda s, d: S.check_stationarity(panel(s, d)))
+
+
+def _eliminated(name: str, src: str, steps: str) -> str:
+    """Elimination of the variables 0, 1, ... of moments ``i, j, v`` as a recursive CTE; ``k`` are gone."""
+    part = "PARTITION BY commodity, state"
+    return f"""{name} AS (SELECT commodity, state, size, 0 AS k, i, j, v FROM {src}
+      UNION ALL SELECT commodity, state, size, k + 1, i, j, v - c * r / nullif(p, 0) FROM (
+        SELECT *, max(CASE WHEN j = k THEN v END) OVER ({part}, i) AS c, max(CASE WHEN i = k THEN v END) OVER ({part}, j) AS r,
+               max(CASE WHEN i = k AND j = k THEN v END) OVER ({part}) AS p
+        FROM {name} WHERE k < {steps}) WHERE i > k AND j > k)"""
+
+
+def adf_ctes(src: str, to: str) -> list[str]:
+    """Dickey-Fuller tests of the series in ``src``, by plain products of whole vectors and recursive elimination."""
+    def moments(name: str, src: str, lags: str, level: str, one: str) -> list[str]:
+        """Moments of level, one, the lags between them (places 1..), and the difference, in the places given."""
+        vector = f"""CASE place WHEN {level} THEN y[{lags} + 1:len(d)]
+          WHEN {one} THEN list_transform(range(len(d) - {lags}), lambda i: 1::DOUBLE)
+          WHEN {lags} + 2 THEN d[{lags} + 1:len(d)] ELSE d[{lags} + 1 - lag:len(d) - lag] END"""
+        low = f"greatest({level}, {one})" if level == "0" else "0"
+        return [
+            f"""{name}_x AS (SELECT *, place - {low} AS lag FROM (SELECT *, unnest(range({lags} + 3)) AS place FROM {src}))""",
+            f"""{name}_v AS MATERIALIZED (SELECT commodity, state, {lags} AS size, place, {vector} AS x FROM {name}_x)""",
+            f"""{name} AS MATERIALIZED (SELECT commodity, state, a.size, a.place AS i, b.place AS j, list_inner_product(a.x, b.x) AS v
+              FROM {name}_v a JOIN {name}_v b USING (commodity, state))""",
+        ]
+
+    series = ("list_reduce(list_prepend([x, x], list_transform(range(1, 151), lambda k: [k::DOUBLE, 0])), "
+              "lambda a, e: [a[1] * x * x / (2 * e[1] + 1), a[2] + a[1] * x * x / (2 * e[1] + 1)])[2]")
+    return [
+        f"""{to}_y AS (SELECT commodity, state, list(y - m ORDER BY date) AS y, min(y) < max(y) AS varies FROM (
+          SELECT *, avg(y) OVER ({K}) AS m FROM {src}) GROUP BY commodity, state)""",
+        f"""{to}_l AS (SELECT commodity, state, list(v ORDER BY date) AS d FROM (
+          SELECT commodity, state, date, y - lag(y) {OVER} AS v FROM {src}) WHERE v IS NOT NULL GROUP BY commodity, state)""",
+        f"""{to}_d AS MATERIALIZED (SELECT *, least(ceil(12 * pow(len(y) / 100.0, 0.25)), len(y) // 2 - 2)::INT AS most
+          FROM {to}_y JOIN {to}_l USING (commodity, state) WHERE varies)""",
+        f"{to}_0 AS (SELECT * FROM {to}_d WHERE most >= 0)",
+        *moments(f"{to}_m", f"{to}_0", "most", "0", "1"),
+        _eliminated(f"{to}_e", f"{to}_m", "size + 2"),
+        f"""{to}_a AS (SELECT commodity, state, k - 2 AS lag,
+            (len(d) - most) * ln(greatest(v, 1e-300) / (len(d) - most)) + 2 * k AS aic
+          FROM {to}_e JOIN {to}_d USING (commodity, state) WHERE k >= 2 AND i = size + 2 AND j = size + 2 AND v IS NOT NULL)""",
+        f"""{to}_b AS MATERIALIZED (SELECT y, d, commodity, state, lags FROM {to}_d JOIN (
+          SELECT commodity, state, first(lag ORDER BY aic, lag)::INT AS lags FROM {to}_a GROUP BY commodity, state)
+          USING (commodity, state))""",
+        *moments(f"{to}_n", f"{to}_b", "lags", "lags + 1", "0"),
+        _eliminated(f"{to}_f", f"{to}_n", "size + 1"),
+        f"""{to}_s AS (SELECT commodity, state, lags, (len(d) - lags)::INT AS obs,
+            CASE WHEN len(d) - 2 * lags - 2 > 0 AND a > 0 AND t - b * b / a > 0
+            THEN b / sqrt(a * (t - b * b / a) / (len(d) - 2 * lags - 2)) END AS stat
+          FROM {to}_b JOIN (SELECT commodity, state, max(v) FILTER (i = size + 1 AND j = size + 1) AS a,
+              max(v) FILTER (i = size + 1 AND j = size + 2) AS b, max(v) FILTER (i = size + 2 AND j = size + 2) AS t
+            FROM {to}_f WHERE k = size + 1 GROUP BY commodity, state) USING (commodity, state))""",
+        f"""{to}_p AS (SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * pow(stat, 2)
+            ELSE 1.7339 + 0.93202 * stat - 0.12745 * pow(stat, 2) - 0.010368 * pow(stat, 3) END::DOUBLE AS x FROM {to}_s)""",
+        f"""{to} AS MATERIALIZED (SELECT y.commodity, y.state, round(stat, 6) AS adf_stat, coalesce(lags, 0) AS adf_lags,
+            coalesce(obs, 0) AS adf_obs,
+          CASE WHEN stat > 2.74 THEN 1 WHEN stat < -18.83 THEN 0 WHEN x > 8 THEN 1 WHEN x < -8 THEN 0
+               ELSE 0.5 + {series} * exp(-x * x / 2) / sqrt(2 * pi()) END AS p
+          FROM {to}_y y LEFT JOIN {to}_p USING (commodity, state))""",
+    ]
+
+
+def _adf_critical(b: tuple[float, ...]) -> str:
+    n = "nullif(adf_obs, 0)::DOUBLE"
+    return f"{b[0]} + {b[1]} / {n} + {b[2]} / ({n} * {n}) + {b[3]} / ({n} * {n} * {n})"
+
+
+add("adf_test", lambda s, d: _round(S.adf_test(panel(s, d)), adf_stat=6, adf_p=6), f"""
+SELECT commodity, state, adf_stat, adf_lags, adf_obs, round(p, 6) AS adf_p, p < 0.05 AS adf_stationary,
+       {", ".join(f"{_adf_critical(b)} AS adf_crit_{level[:-1]}" for level, b in S.ADF_CRITICAL.items())} FROM adf""",
+    ctes=BASE + adf_ctes("dense", "adf"), recursive=True)
+add("check_stationarity", lambda s, d: _round(S.check_stationarity(panel(s, d)), adf_stat=6, adf_p=6, kpss_stat=6, kpss_p=6), f"""
+SELECT commodity, state, adf.adf_stat, round(adf.p, 6) AS adf_p, adf.p < 0.05 AS adf_stationary, kpss_stat, kpss_p, kpss_stationary,
+       diff.p < 0.05 AS diff_stationary, coalesce(adf.p < 0.05, false) AND coalesce(kpss_stationary, false) AS is_stationary,
+       CASE WHEN coalesce(adf.p < 0.05, false) <> coalesce(kpss_stationary, false) THEN 1 WHEN adf.p < 0.05 THEN 0
+            WHEN diff.p < 0.05 THEN 1 ELSE 2 END AS d
+FROM adf LEFT JOIN ({_KPSS_OUT}) USING (commodity, state) LEFT JOIN diff USING (commodity, state)""",
+    ctes=BASE + [f"diffs AS (SELECT * FROM (SELECT commodity, state, date, y - lag(y) {OVER} AS y FROM dense) WHERE y IS NOT NULL)",
+                 _acov("dense", 64), _KPSS, _AUTO, *adf_ctes("dense", "adf"), *adf_ctes("diffs", "diff")], recursive=True)
 _DECOMP = """
 tr AS (SELECT *, (row_number() {over} - 1) % 30 AS slot,
   CASE WHEN count(y) OVER ({k} ORDER BY date ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) = 31 THEN

@@ -2,20 +2,19 @@
 
 Autocovariances come from lagged columns and one grouped sum; everything that follows
 (partial autocorrelation, KPSS, Ljung-Box) works on the resulting short array per series.
-Only the Dickey-Fuller lag search runs numpy inside grouped tasks.
+The Dickey-Fuller regressions of all lags are one elimination of one moment matrix per series.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.operators.series import by_date, difference
-from pricewell.plans.session import cut_lineage, ship_package
+from pricewell.plans.session import cut_lineage
 from pricewell.schema import SERIES_KEY
 
 # Fixed values (published): finite-sample critical values of the Dickey-Fuller test with
@@ -120,80 +119,143 @@ def partial_autocorrelation(panel: DataFrame, max_lag: int = 40, key: list[str]
 
 # --- stationarity ------------------------------------------------------------------
 
-def _normal_cdf(x: float) -> float:
-    return 0.5 * math.erfc(-x / math.sqrt(2.0))
-
-
 def adf_p_value(stat: float) -> float:
+    """The p-value of one statistic; ``adf_p`` is the same for a column."""
     if stat > ADF_P_MAX:
         return 1.0
     if stat < ADF_P_MIN:
         return 0.0
     coef = ADF_P_LEFT if stat <= ADF_P_MEET else ADF_P_RIGHT
-    return _normal_cdf(sum(c * stat**i for i, c in enumerate(coef)))
-
-
-def _adf_one(y: np.ndarray) -> tuple[float, int, int]:
-    """Statistic, lags chosen by AIC, and observations used; NaN when not computable."""
-    n = len(y)
-    most = int(math.ceil(12.0 * (n / 100.0) ** 0.25)) if n else 0
-    most = min(most, n // 2 - 2)
-    if most < 0 or np.ptp(y) == 0:
-        return float("nan"), 0, 0
-    y = y - y.mean()
-    dy = np.diff(y)
-
-    def design(lags: int, skip: int):
-        rows = np.arange(skip, len(dy))
-        cols = [y[rows], np.ones(len(rows))] + [dy[rows - i] for i in range(1, lags + 1)]
-        return np.column_stack(cols), dy[rows]
-
-    # every candidate is fitted on the same rows, from one moment matrix
-    x, t = design(most, most)
-    gram, cross, total, rows = x.T @ x, x.T @ t, float(t @ t), len(t)
-    best = None
-    for lags in range(most + 1):
-        k = lags + 2
-        try:
-            beta = np.linalg.solve(gram[:k, :k], cross[:k])
-        except np.linalg.LinAlgError:
-            break
-        rss = max(total - float(beta @ cross[:k]), 1e-300)
-        aic = rows * math.log(rss / rows) + 2 * k
-        if best is None or aic < best[0]:
-            best = (aic, lags)
-    if best is None:
-        return float("nan"), 0, 0
-    x, t = design(best[1], best[1])
-    try:
-        inverse = np.linalg.inv(x.T @ x)
-    except np.linalg.LinAlgError:
-        return float("nan"), 0, 0
-    beta = inverse @ (x.T @ t)
-    rest = t - x @ beta
-    dof = len(t) - x.shape[1]
-    scale = float(rest @ rest) / dof if dof > 0 else float("nan")
-    return float(beta[0] / math.sqrt(scale * inverse[0, 0])), best[1], len(t)
+    return 0.5 * math.erfc(-sum(c * stat**i for i, c in enumerate(coef)) / math.sqrt(2.0))
 
 
-def adf_test(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
-    """Augmented Dickey-Fuller test with a constant, one row per series."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in panel.select(*key).schema)
-    ship_package(panel.sparkSession)
-    out = f"{fields}, adf_stat double, adf_lags int, adf_obs int, adf_p double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stat, lags, obs = _adf_one(pdf.sort_values("date")["y"].to_numpy(dtype=float))
-        p = adf_p_value(stat) if stat == stat else None
-        row = {k: [pdf[k].iloc[0]] for k in key}
-        return pd.DataFrame(
-            row | {"adf_stat": [stat if stat == stat else None], "adf_lags": [lags],
-                   "adf_obs": [obs], "adf_p": [p]}
-        )
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def normal_cdf(x: Column, terms: int = 150) -> Column:
+    """The normal distribution by its power series, which has converged where |x| is at most 8."""
+    def term(acc: Column, k: Column) -> Column:
+        t = acc["t"] * x * x / (2 * k + 1)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), F.struct(x.alias("t"), x.alias("s")), term, lambda acc: acc["s"])
+    inside = 0.5 + series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    return F.when(x > 8, 1.0).when(x < -8, 0.0).otherwise(inside)
+
+
+def adf_p(stat: Column, z: Column) -> Column:
+    """The p-value of a statistic whose normal equivalent is ``z``."""
+    return F.when(stat > ADF_P_MAX, 1.0).when(stat < ADF_P_MIN, 0.0).when(stat.isNotNull(), normal_cdf(z))
+
+
+def adf_z(stat: Column) -> Column:
+    def polynomial(coef: tuple[float, ...]) -> Column:
+        return sum((c * F.pow(stat, F.lit(i)) for i, c in enumerate(coef[1:], 1)), F.lit(coef[0]))
 
-    tests = (
-        panel.where(F.col("y").isNotNull()).select(*key, "date", "y").groupBy(*key).applyInPandas(run, out)
+    return F.when(stat <= ADF_P_MEET, polynomial(ADF_P_LEFT)).otherwise(polynomial(ADF_P_RIGHT))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, z: x * z), F.lit(0.0), lambda s, x: s + x)
+
+
+def _moments(y: Column, d: Column, n: Column, skip: Column) -> Column:
+    """Sums of products over the rows from ``skip`` of: one, level, difference, and its lags 1..``skip``.
+
+    ``y`` has ``n`` + 1 levels and ``d`` their ``n`` differences.  Only products with the unlagged difference are summed;
+    those of two lags follow from the entry before on the diagonal, which differs by a row at either end.
+    """
+    rows, lags = n - skip, F.sequence(F.lit(0), skip)
+    level, now = F.slice(y, skip + 1, rows), F.slice(d, skip + 1, rows)
+    lagged = F.transform(lags, lambda j: F.slice(d, skip + 1 - j, rows))
+    ones = F.transform(lags, lambda j: F.get(y, n - j) - F.get(y, skip - j))  # differences add up to levels
+    levels = F.transform(lagged, lambda v: _dot(level, v))
+
+    def next_row(acc: Column, i: Column) -> Column:
+        above = F.element_at(acc, -1)
+        row = F.transform(lags, lambda j: F.when(j < i, F.get(F.get(acc, j), i)).otherwise(
+            F.get(above, j - 1) + F.get(d, skip - i) * F.get(d, skip - j) - F.get(d, n - i) * F.get(d, n - j)))
+        return F.concat(acc, F.array(row))
+
+    products = F.aggregate(
+        F.slice(lags, F.lit(2), skip), F.array(F.transform(lagged, lambda v: _dot(now, v))), next_row)
+    total = F.aggregate(level, F.lit(0.0), lambda s, x: s + x)
+    return _named(F.struct(ones.alias("o"), levels.alias("l"), products.alias("p"), total.alias("t")), lambda m: F.concat(
+        F.array(F.concat(F.array(rows.cast("double"), m["t"]), m["o"]), F.concat(F.array(m["t"], _dot(level, level)), m["l"])),
+        F.transform(lags, lambda i: F.concat(F.array(F.get(m["o"], i), F.get(m["l"], i)), F.get(m["p"], i))),
+    ))
+
+
+def _arranged(moments: Column, order: Column) -> Column:
+    return _named(F.struct(moments.alias("m"), order.alias("o")), lambda v: F.transform(
+        v["o"], lambda i: F.transform(v["o"], lambda j: F.get(F.get(v["m"], i), j))))
+
+
+def eliminated(m: Column) -> Column:
+    """The moment matrix of what its first variable does not explain of the others; all NULL if that is constant."""
+    first = m[0]
+    rest = F.slice(first, F.lit(2), F.size(first) - 1)
+    return F.transform(
+        F.slice(m, F.lit(2), F.size(m) - 1),
+        lambda row: F.zip_with(F.slice(row, F.lit(2), F.size(row) - 1), rest,
+                               lambda x, f: x - F.try_divide(row[0] * f, first[0])),
     )
+
+
+def adf_test(panel: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant, one row per series.
+
+    The number of lags is chosen by AIC.  All candidates are fitted on the same rows: eliminating level, constant and
+    one lag after the other from one moment matrix leaves the residual sum of squares of each.  Series that are constant or
+    too short have no statistic.
+    """
+    kept = panel.where(F.col("y").isNotNull()).groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("date", "y"))).alias("_rows"), F.avg("y").alias("_m"),
+        F.min("y").alias("_low"), F.max("y").alias("_high"), F.count("*").alias("_n"))  # as long as the calendar
+    size = F.col("_n").cast("int")
+    most = F.least(F.ceil(12.0 * F.pow(size / 100.0, F.lit(0.25))).cast("int"), F.floor(size / 2).cast("int") - 2)
+    rows = kept.select(
+        *key, F.transform("_rows", lambda r: r["y"] - F.col("_m")).alias("_y"),
+        F.when((most >= 0) & (F.col("_low") < F.col("_high")), most).alias("_most"), (size - 1).alias("_d_n"))
+    y, n, most = F.col("_y"), F.col("_d_n"), F.col("_most")
+    differences = F.transform(F.slice(y, F.lit(2), n), lambda v, i: v - F.get(y, i))
+    rows = rows.withColumn("_d", differences)
+    d = F.col("_d")
+
+    def lag_places(lags: Column) -> Column:
+        """Where the lags 1..``lags`` stand in the moment matrix."""
+        return F.slice(F.sequence(F.lit(2), lags + 2), F.lit(2), lags)
+
+    nested = F.concat(F.array(F.lit(1), F.lit(0)), lag_places(most), F.array(F.lit(2)))
+    start = F.struct(_arranged(_moments(y, d, n, most), nested).alias("m"), F.array().cast("array<double>").alias("rss"))
+
+    def one_more(acc: Column, _: Column) -> Column:
+        return _named(eliminated(acc["m"]), lambda m: F.struct(
+            m.alias("m"), F.concat(acc["rss"], F.array(F.element_at(F.element_at(m, -1), -1))).alias("rss")))
+
+    rss = F.aggregate(F.sequence(F.lit(1), most + 2), start, one_more, lambda acc: acc["rss"])
+    used = (n - most).cast("double")
+    aics = F.transform(F.slice(rss, F.lit(2), most + 1), lambda r, lag: F.struct(
+        (used * F.ln(F.greatest(r, F.lit(1e-300)) / used) + 2 * (lag + 2)).alias("aic"), lag.alias("lag"), r.alias("rss")))
+    best = F.array_min(F.filter(aics, lambda a: a["rss"].isNotNull()))["lag"]
+    rows = rows.withColumn("_lags", F.when(most.isNotNull(), best))
+    lags = F.col("_lags")
+    last = F.aggregate(
+        F.sequence(F.lit(1), lags + 1),
+        _arranged(_moments(y, d, n, lags), F.concat(F.array(F.lit(0)), lag_places(lags), F.array(F.lit(1), F.lit(2)))),
+        lambda m, _: eliminated(m))
+    rows = rows.withColumn("_left", F.when(lags.isNotNull(), last))
+    a, b, t = F.col("_left")[0][0], F.col("_left")[0][1], F.col("_left")[1][1]
+    dof = n - lags - (lags + 2)
+    scale = F.when(dof > 0, (t - F.try_divide(b * b, a)) / dof)
+    stat = F.when(scale * a > 0, b / F.sqrt(scale * a))
+    obs = F.coalesce(n - lags, F.lit(0))
+    tests = rows.select(*key, stat.alias("adf_stat"), F.coalesce(lags, F.lit(0)).alias("adf_lags"), obs.alias("adf_obs"))
+    tests = tests.withColumn("_z", adf_z(F.col("adf_stat")))
+    tests = tests.withColumn("adf_p", adf_p(F.col("adf_stat"), F.col("_z"))).drop("_z")
     t = F.col("adf_obs").cast("double")
     critical = {
         f"adf_crit_{level[:-1]}": b[0] + F.try_divide(F.lit(b[1]), t)
@@ -252,8 +314,9 @@ def kpss_test(
     long_run = F.col("gamma")[0] + 2 * F.aggregate(weights, F.lit(0.0), lambda a, g: a + g)
     stat = F.try_divide(F.try_divide(F.col("_eta"), n * n), long_run)
     out = cov.join(partial, key).select(*key, "n", "kpss_lags", stat.alias("kpss_stat"))
-    return out.withColumn("kpss_p", kpss_p_value(F.col("kpss_stat"))).withColumn(
-        "kpss_stationary", F.col("kpss_p") >= 0.05
+    critical = {f"kpss_crit_{100 * p:g}".replace(".", "_"): F.lit(crit) for p, crit in KPSS_CRITICAL.items()}
+    return out.withColumn("kpss_p", kpss_p_value(F.col("kpss_stat"))).withColumns(
+        {"kpss_stationary": F.col("kpss_p") >= 0.05} | critical
     )
 
 

@@ -34,6 +34,38 @@ def test_stationarity_verdicts(panel):
     assert got["flat"]["adf_stat"] is None
 
 
+def test_adf_equals_least_squares(panel, spark):
+    def plain(y):
+        n = len(y)
+        most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+        dy = np.diff(y)
+
+        def fit(lags, skip):
+            rows = np.arange(skip, len(dy))
+            x = np.column_stack([y[rows], np.ones(len(rows))] + [dy[rows - i] for i in range(1, lags + 1)])
+            beta, *_ = np.linalg.lstsq(x, dy[rows], rcond=None)
+            rest = dy[rows] - x @ beta
+            scale = rest @ rest / (len(rows) - lags - 2)
+            return beta[0] / np.sqrt(scale * np.linalg.inv(x.T @ x)[0, 0]), len(rows) * np.log(rest @ rest / len(rows)) + 2 * (lags + 2)
+
+        best = min(range(most + 1), key=lambda k: fit(k, most)[1])
+        return fit(best, best)[0], best, len(dy) - best
+
+    rng = np.random.default_rng(9)
+    series = {"ar": [1.0], "short": list(rng.normal(size=9)), "tiny": [1.0, 2.0, 4.0]}
+    for e in rng.normal(size=400):
+        series["ar"].append(0.7 * series["ar"][-1] + 0.4 * np.sin(len(series["ar"])) + e)
+    rows = [(c, "s", i, float(v)) for c, values in series.items() for i, v in enumerate(values)]
+    data = spark.createDataFrame(rows, "commodity string, state string, i int, y double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")))
+    got = {r["commodity"]: r for r in S.adf_test(data).collect()}
+    for name in ("ar", "short"):
+        stat, lags, obs = plain(np.array(series[name]))
+        assert (got[name]["adf_lags"], got[name]["adf_obs"]) == (lags, obs)
+        assert got[name]["adf_stat"] == pytest.approx(stat, rel=1e-6)
+        assert got[name]["adf_p"] == pytest.approx(S.adf_p_value(stat), abs=1e-9)
+    assert got["tiny"]["adf_stat"] is None and got["tiny"]["adf_p"] is None
+
+
 def test_adf_p_value_at_the_critical_value():
     assert S.adf_p_value(-2.86154) == pytest.approx(0.05, abs=0.002)
     assert S.adf_p_value(3.0) == 1.0 and S.adf_p_value(-20.0) == 0.0
