@@ -78,6 +78,35 @@ add("ingest_json", lambda s, d: _ingested(s, d, "json"), _INGEST)
 add("ingest_csv", lambda s, d: _ingested(s, d, "csv"), _INGEST)
 
 
+#: A line that is no record, and one without a date.
+BROKEN = ['{"state": "NATION_1", "arrival_date": "1996-02-', '{"state": "NATION_1", "modal_price": 5.0}']
+
+
+def _two_batches(s, d):
+    """Two batches of every year, the second with a corrected price for one month of the first, and broken lines."""
+    root = new_path(s, "merged")
+    rows = star_prices(s, d).select(*RAW_PRICES.fieldNames())
+    month = F.month("arrival_date")
+    for part in (rows.where(month <= 6), rows.where(month >= 6).withColumn(
+            "modal_price", F.when(month == 6, F.col("modal_price") + 1000).otherwise(F.col("modal_price")))):
+        path = new_path(s, "batch")
+        part.write.json(path)
+        s.createDataFrame([(line,) for line in BROKEN], "value string").write.mode("append").text(path)
+        P.ingest(s, path, root)
+    tree = P.read_tree(s, root).groupBy("year", "month").agg(
+        F.count("*").alias("records"), F.max("modal_price").alias("top"))
+    kept = s.read.parquet(P.quarantine_path(root)).groupBy("reason").agg(F.count("*").alias("records"))
+    none = {"year": F.lit(None).cast("int"), "month": F.lit(None).cast("int"), "top": F.lit(None).cast("double")}
+    return tree.withColumn("reason", F.lit(None).cast("string")).unionByName(kept.withColumns(none))
+
+
+add("ingest_two_batches", _two_batches, """
+SELECT year, month, count(*) AS records, max(CASE WHEN month = 6 THEN modal_price + 1000 ELSE modal_price END) AS top,
+       NULL::VARCHAR AS reason
+FROM prices GROUP BY year, month
+UNION ALL SELECT NULL, NULL, 2, NULL, 'unreadable' UNION ALL SELECT NULL, NULL, 2, NULL, 'no arrival_date'""")
+
+
 def _streamed(s, d):
     root = new_path(s, "streamed")
     ingest_new_files(s, _raw(s, d, "json"), root, new_path(s, "progress"))

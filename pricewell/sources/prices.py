@@ -10,9 +10,11 @@ from collections.abc import Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewell.functions.expressions import calendar_columns
 from pricewell.functions.names import with_normal_names
+from pricewell.plans.session import new_path
 from pricewell.schema import CLEAN_CSV, PRICES, RAW_PRICES, require_columns
 
 # The years covered by default and the name of a yearly file.
@@ -20,6 +22,9 @@ FIRST_YEAR, LAST_YEAR = 2016, 2026
 YEAR_FILE = "data_{year}.parquet"
 
 NAME_COLUMNS = ("commodity", "state")
+#: What one price record is about; a later batch replaces all rows that it has of a key.
+RECORD_KEY = ("state", "district", "market", "commodity", "variety", "grade", "arrival_date")
+CORRUPT = "_corrupt_record"
 
 
 def year_paths(base: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> list[str]:
@@ -81,12 +86,17 @@ def clean_records(raw: DataFrame) -> DataFrame:
     return out.withColumns(calendar_columns()).select(*PRICES.fieldNames())
 
 
-def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:
-    """Raw market records as JSON lines or CSV with a header."""
+def raw_reader(reader, fmt: str):
+    """A batch or stream reader of raw records; lines that cannot be read keep their text in ``CORRUPT``."""
     if fmt not in {"json", "csv"}:
         raise ValueError("fmt must be 'json' or 'csv'")
-    reader = spark.read.schema(RAW_PRICES)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
+    reader = reader.schema(T.StructType([*RAW_PRICES.fields, T.StructField(CORRUPT, T.StringType())]))
+    return reader.format(fmt).option("columnNameOfCorruptRecord", CORRUPT).option("header", True)
+
+
+def read_raw(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:
+    """Raw market records as JSON lines or CSV with a header, with unreadable lines in ``CORRUPT``."""
+    return raw_reader(spark.read, fmt).load(path)
 
 
 def write_tree(prices: DataFrame, root: str, mode: str = "overwrite", sort_by: Iterable[str] | None = None) -> None:
@@ -104,9 +114,58 @@ def write_tree(prices: DataFrame, root: str, mode: str = "overwrite", sort_by: I
     )
 
 
-def ingest(spark: SparkSession, raw_path: str | list[str], root: str, fmt: str = "json", mode: str = "overwrite") -> None:
-    """Raw records to the partitioned tree."""
-    write_tree(clean_records(read_raw(spark, raw_path, fmt)), root, mode)
+def ingest(
+    spark: SparkSession, raw_path: str | list[str], root: str, fmt: str = "json", mode: str = "merge",
+    quarantine: str | None = None,
+) -> None:
+    """Raw records to the partitioned tree; see ``ingest_rows``."""
+    ingest_rows(read_raw(spark, raw_path, fmt), root, mode, quarantine)
+
+
+def ingest_rows(raw: DataFrame, root: str, mode: str = "merge", quarantine: str | None = None) -> None:
+    """Add a batch as read by ``read_raw`` to the tree.
+
+    ``merge`` keeps what the touched years hold besides: rows of the batch replace those of their
+    ``RECORD_KEY``, so a batch may come twice.  ``overwrite`` replaces the years of the batch, ``append`` only adds.
+    Lines that cannot be read and records without a date go to ``quarantine`` (default: beside
+    ``root``) as ``record``, ``reason`` and ``noted_at``.  The batch is written down first, so a second look at it
+    does not depend on the raw files, and the touched years are put together in a folder of their own before they
+    replace the old ones.
+    """
+    spark = raw.sparkSession
+    names = RAW_PRICES.fieldNames()
+    staged = new_path(spark, "ingest-batch")
+    raw.select(*names, CORRUPT).write.parquet(staged)
+    batch = spark.read.parquet(staged)
+    broken, undated = F.col(CORRUPT).isNotNull(), F.col("arrival_date").isNull()
+    bad = batch.where(broken | undated).select(
+        F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*names))).alias("record"),
+        F.when(broken, "unreadable").otherwise("no arrival_date").alias("reason"), F.current_timestamp().alias("noted_at"))
+    good = clean_records(batch.where(~broken & ~undated).select(*names))
+    if not bad.isEmpty():
+        bad.write.mode("append").parquet(quarantine or quarantine_path(root))
+    if mode != "merge":
+        write_tree(good, root, mode)
+        return
+    years = [r["year"] for r in good.select("year").distinct().collect()]  # one row per calendar year
+    if not years:
+        return
+    try:
+        held = spark.read.schema(PRICES).option("basePath", root).parquet(root).where(F.col("year").isin(years))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write_tree(good, root)
+        return
+    fresh = good.select(*[F.col(c).alias(f"_{c}") for c in RECORD_KEY]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RECORD_KEY]
+    merged = new_path(spark, "ingest-merged")
+    write_tree(held.select(*PRICES.fieldNames()).join(fresh, same, "left_anti").unionByName(good), merged)
+    write_tree(read_tree(spark, merged), root)
+
+
+def quarantine_path(root: str) -> str:
+    return f"{root.rstrip('/')}-quarantine"
 
 
 def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,26 +1,25 @@
 """The raw-record ingest as an incremental job.
 
-Each run picks up the files that arrived since the last one, writes them to the
-partitioned tree and stops; progress lives in the checkpoint folder.
+Each run picks up the files that arrived since the last one, merges them into the
+partitioned tree and stops; progress lives in the checkpoint folder.  A batch that is
+repeated after a failure replaces its own records, so nothing is counted twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from pricewell.schema import RAW_PRICES
-from pricewell.sources.prices import clean_records
+from pricewell.sources.prices import ingest_rows, raw_reader
 
 
 def ingest_new_files(
-    spark: SparkSession, raw_dir: str, root: str, progress_dir: str, fmt: str = "json"
+    spark: SparkSession, raw_dir: str, root: str, progress_dir: str, fmt: str = "json", quarantine: str | None = None,
 ) -> None:
     """Ingest all new files once and wait for the end."""
-    reader = spark.readStream.schema(RAW_PRICES)
-    stream = reader.option("header", True).csv(raw_dir) if fmt == "csv" else reader.json(raw_dir)
     query = (
-        clean_records(stream).writeStream.format("parquet").partitionBy("year")
-        .option("path", root).option("checkpointLocation", progress_dir)
+        raw_reader(spark.readStream, fmt).load(raw_dir).writeStream
+        .foreachBatch(lambda batch, _: ingest_rows(batch, root, "merge", quarantine))
+        .option("checkpointLocation", progress_dir)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()

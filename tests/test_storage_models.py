@@ -188,6 +188,36 @@ def test_second_ingest_keeps_other_years(spark):
     assert P.open_prices(spark, "tree", tree=root, years=(2000, 2040)).count() == 1
 
 
+def test_a_second_batch_of_a_year_is_merged(spark):
+    from pricewell.streaming.ingest import ingest_new_files
+
+    root, raw = new_path(spark, "merged"), new_path(spark, "raw")
+
+    def batch(lines, path):
+        spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.mode("append").text(path)
+
+    def line(day, price, state='"S"'):
+        return f'{{"state": {state}, "market": "M", "commodity": "C", "arrival_date": "2020-{day}", "modal_price": {price}}}'
+
+    batch([line("01-05", 1.0), line("01-06", 2.0), line("01-06", 2.5), "{broken", line("01-07", 7.0, "null")], raw)
+    P.ingest(spark, raw, root)
+    second = new_path(spark, "raw")
+    batch([line("02-05", 3.0), line("01-06", 9.0), line("01-07", 8.0, "null"), '{"state": "S"}'], second)
+    for _ in range(2):  # the same batch again changes nothing
+        P.ingest(spark, second, root, quarantine=new_path(spark, "q"))
+    prices = sorted((str(r["arrival_date"]), r["modal_price"]) for r in P.read_tree(spark, root).collect())
+    assert prices == [("2020-01-05", 1.0), ("2020-01-06", 9.0), ("2020-01-07", 8.0), ("2020-02-05", 3.0)]
+    held = spark.read.parquet(P.quarantine_path(root)).collect()
+    assert [(r["record"], r["reason"]) for r in held] == [("{broken", "unreadable")]
+    P.ingest(spark, second, root, mode="overwrite")
+    assert P.read_tree(spark, root).count() == 3
+    streamed, progress = new_path(spark, "streamed"), new_path(spark, "progress")
+    ingest_new_files(spark, raw, streamed, progress)
+    batch([line("03-01", 4.0)], raw)
+    ingest_new_files(spark, raw, streamed, progress)
+    assert P.read_tree(spark, streamed).count() == 5
+
+
 def test_ensemble_goes_on_without_a_component(spark):
     forecasts = spark.sql("""SELECT c AS commodity, 'S' AS state, DATE'2024-01-01' AS date, m AS model, f AS forecast
         FROM VALUES ('A', 'arima', 10.0D), ('A', 'xgb', 20.0D), ('B', 'arima', 4.0D), ('C', 'arima', 2.0D), ('C', 'xgb', 4.0D)
