@@ -16,7 +16,8 @@ table, never a list on the driver, and only nodes of at most ``SMALL`` documents
 A candidate has equal minwise values (one byte of each is kept as the sketch) in a share that a pair at the threshold
 misses by four standard deviations at most.  Candidates are confirmed on the full shingle sets, made anew for the
 documents that need it.  A small node gives one row per document that has a candidate, meets again with their full sets,
-and returns the links that join its components, fewer than its documents.
+and returns the links that join its components, fewer than its documents.  All small nodes are gone through, few at
+first: what these join needs no full sets in the many that follow.
 
 Defined cases: fewer words than the shingle has are one shingle of all of them; null or empty text has an empty set,
 which links with nothing; repeated rows and ids share the least id reached; rows without an id are linked too
@@ -41,8 +42,9 @@ from pricewell.plans.session import ship_package
 #: Minwise values per set, one byte each; documents of a node that is compared exhaustively.
 SIZE = 128
 SMALL = 2000
-#: Centres of a large node.
+#: Centres of a large node, and the ends of the passes over the small nodes, dealt by hash: a sixteenth, three, twelve.
 CENTRES = 3
+PASSES = (1, 4, 16)
 #: Levels that the number of trees is reckoned for.
 DEPTH = 3
 #: Row keys up to this number are broadcast to the scan that makes full sets (16 bytes each); more are joined by shuffle.
@@ -337,13 +339,19 @@ def links(classes: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text
     at_leaves = leaves[0]
     for more in leaves[1:]:
         at_leaves = at_leaves.unionAll(more)
-    rows = stored(_open(at_leaves, labels), "leaves")
-    sketched_rows = rows.join(classes.select("cls", "n", "sketch"), "cls")
-    hot = stored(with_candidates(sketched_rows, threshold), "hot")
-    sets = full_sets(hot.select("cls").distinct(), *source)
-    hot = hot.join(rows.select("node", "cls", "comp"), ["node", "cls"]).join(sets, "cls")
-    joined = stored(joined_exactly(hot, threshold), "joined")
-    return joined if found is None else found.unionAll(joined)
+    at_leaves = stored(at_leaves, "leaves")
+    turn = F.pmod(F.xxhash64("node"), F.lit(PASSES[-1]))
+    for low, high in zip((0, *PASSES), PASSES):
+        rows = stored(_open(at_leaves.filter((turn >= low) & (turn < high)), labels), "open")
+        sketched_rows = rows.join(classes.select("cls", "n", "sketch"), "cls")
+        hot = stored(with_candidates(sketched_rows, threshold), "hot")
+        sets = full_sets(hot.select("cls").distinct(), *source)
+        hot = hot.join(rows.select("node", "cls", "comp"), ["node", "cls"]).join(sets, "cls")
+        joined = stored(joined_exactly(hot, threshold), "joined")
+        found = joined if found is None else found.unionAll(joined)
+        if high < PASSES[-1]:
+            labels = stored(components(found).withColumnRenamed("node", "labelled"), "labels")
+    return found
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
