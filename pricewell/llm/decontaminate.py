@@ -15,9 +15,10 @@ and a stretch is only verified in full when enough of the item's trigrams lie in
 keeps all but 3 k of them), a test that loses nothing.
 
 Defined cases: null or empty text matches nothing; items whose text is null or without letters or digits match
-nothing; an item as short as its budget allows no error is sought exactly; an item is a pair of id and normalised
+nothing; an item so short that its budget allows no error (under 13 characters at the usual rate) is sought exactly and
+at word boundaries, and if it is a single word, only as a whole document, as words stand in clean documents; an item is a pair of id and normalised
 text, so each text of an id is sought and reported, repeated pairs count once, and items without an id are reported
-with a null id (``decontaminated`` does not remove for those, see there); ties take the earliest end; an empty table
+with a null id; ties take the earliest end; an empty table
 gives an empty result; other columns are not read and stay in ``decontaminated``.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewell.llm.text import stored
+from pricewell.llm.text import private, stored, with_place
 from pricewell.plans.session import ship_package
 
 RATE = 0.08
@@ -65,6 +66,16 @@ class Pattern:
         need = len(self.trigrams) - 3 * self.errors
         return need <= 0 or len(self.trigrams & {text[i : i + 3] for i in range(len(text) - 2)}) >= need
 
+    def whole_end(self, text: str, begin: int, end: int) -> int:
+        """Where the first exact occurrence between word boundaries in ``text[begin:end]`` ends, or 0.
+
+        A single word has to be the whole text.
+        """
+        if " " not in self.item:
+            return self.size if text == self.item else 0
+        at = f" {text[max(0, begin - 1) : end + 1]} ".find(f" {self.item} ")
+        return 0 if at < 0 else max(0, begin - 1) + at + self.size
+
     def best_end(self, text: str) -> tuple[int, int]:
         """(least distance of the item to a part of ``text``, where the first such part ends)."""
         full, top = (1 << self.size) - 1, 1 << self.size - 1
@@ -125,7 +136,11 @@ class Matcher:
         best: dict[int, tuple[int, int]] = {}
         for item, begin, end in self.stretches(text):
             pattern, part = self.patterns[item], text[begin:end]
-            if pattern.may_hold(part):
+            if not pattern.errors:
+                stop = pattern.whole_end(text, begin, end)
+                if stop and item not in best:
+                    best[item] = (0, stop)
+            elif pattern.may_hold(part):
                 distance, stop = pattern.best_end(part)
                 if distance <= pattern.errors:
                     best[item] = min(best.get(item, (distance, begin + stop)), (distance, begin + stop))
@@ -140,13 +155,19 @@ def contaminations(
 
     ``end_char`` is where the best occurrence ends in the normalised document.
     """
-    spark = documents.sparkSession
-    ship_package(spark)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, item_id long, distance int, end_char long"
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    return _leaks(docs, items, rate, block_chars)
+
+
+def _leaks(docs: DataFrame, items: DataFrame, rate: float, block_chars: int) -> DataFrame:
+    """``contaminations`` of ``docs`` (``doc_id``, of type long or string, and ``text``) by ``items`` (``i, t``)."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind.replace('bigint', 'long')}, item_id long, distance int, end_char long"
     out = None
-    for block in _blocks(benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")),
-                         block_chars):
+    for block in _blocks(items, block_chars):
         found = docs.mapInArrow(_search(spark.sparkContext.broadcast(block), rate), schema)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else spark.createDataFrame([], schema)
@@ -183,18 +204,23 @@ def _search(items, rate: float):
                 for n, *match in matcher.matches(normalised(text.as_py()))
             ]
             columns = list(zip(*rows)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64())
             names = ["doc_id", "item_id", "distance", "end_char"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """``documents`` without those that hold a test item that has an id; rows without an id stay.
+def decontaminated(
+    documents: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """``documents`` without the rows that hold a test item, with an id or without.
 
-    Leaks of items without an id are only reported, by ``contaminations``.
+    Each row is judged by its own text: rows without an id, and several texts of one id, are rows of their own.
     """
-    leaks = contaminations(documents, benchmark, rate=rate).filter("item_id IS NOT NULL")
-    found = stored(leaks.select("doc_id").distinct(), "contaminated")
-    return documents.join(found, "doc_id", "left_anti").select(*documents.columns)
+    place = private("place")
+    placed = with_place(documents, place, "tested-rows")
+    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t"))
+    leaks = _leaks(placed.select(F.col(place).alias("doc_id"), "text"), items, rate, block_chars)
+    found = stored(leaks.select(F.col("doc_id").alias(place)).distinct(), "contaminated")
+    return placed.join(found, place, "left_anti").select(*documents.columns)

@@ -59,6 +59,21 @@ def test_every_text_of_an_item_id_is_sought(frame, spark):
     assert [r["doc_id"] for r in decontaminate.decontaminated(docs, items).collect()] == [3]
 
 
+def test_short_items_match_whole_words_and_single_words_whole_documents():
+    matcher = decontaminate.Matcher([(1, "cat"), (2, "two cats"), (3, "a b c")], 0.08)
+    hits = lambda text: sorted(m[0] for m in matcher.matches(text))
+    assert hits("education of cats") == [] and hits("the cat sat") == [] and hits("cat") == [1]
+    assert hits("it has two catsup bottles") == [] and hits("it has two cats now") == [2]
+    assert hits("xa b c and a b c") == [3] and matcher.matches("xa b c and a b c")[0][1:] == (0, 16)
+
+
+def test_rows_without_an_id_are_judged_each(frame, spark):
+    docs = frame([(None, ITEM, None, None), (None, "clean", None, None), (4, ITEM, None, None), (4, "also clean", None, None)],
+                 DOCUMENTS)
+    items = spark.createDataFrame([(None, ITEM)], "item_id long, text string")
+    assert sorted(r["text"] for r in decontaminate.decontaminated(docs, items).collect()) == ["also clean", "clean"]
+
+
 def test_languages_are_learned_and_unknown_words_back_off(frame):
     words = {"a": "kata mika tolo sata", "b": "strum grolf brint zwerk"}
     rows = [(i, words[g], g, None) for g in words for i in range(20)]
