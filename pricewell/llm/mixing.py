@@ -8,13 +8,15 @@ shares.  The sequence ends when each source has its blocks; the last one is cut
 taken are the targets rounded, and no source goes round more than ``most`` times.  ``pieces`` gives the mix itself in
 this order; ``mix`` sums it up per document, and ``mixed`` has whole documents in the order of their first slots.
 
-A source may hold a third of all rows, so no task owns one: places on the ring are prefix sums over hash ranges
-of about 4,000 documents, ranks are prefix sums over chunks of 65,536 slots, and documents meet slots on
+A source may hold a third of all rows, so no task owns one: places on the ring are prefix sums over ranges
+of the order, one a partition, ranks are prefix sums over chunks of 65,536 slots, and documents meet slots on
 (source, block).  Only the sources' totals go to the driver; more than ``MAX_SOURCES`` is an error.
 
 Defined cases: null text has size 0; documents of size 0 take 0; the null source comes last; equal hashes
-are ordered by key, then size; repeated rows are rows of their own; no tokens at all means targets of 0; an
-empty table gives an empty result; other columns are not read (``mixed`` keeps them).
+are ordered by key, then size; rows with a null key are shuffled by their text; repeated rows are rows of their own;
+no tokens at all means targets of 0; an empty table gives an empty result; other columns are not read (``mixed`` keeps
+them).  ``mixed`` shuffles by key and text and tells equal rows apart by a number, so its result doesn't depend on how the rows
+lie in files.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.llm.text import private, stored, word_count
+from pricewell.llm.text import private, row_digest, shuffle_width, stored, with_place, word_count
 from pricewell.plans.session import ship_package
 
 #: The golden ratio's fraction in 64-bit fixed point.
 GOLDEN = np.uint64(11400714819323198485)
 CHUNK = 1 << 16
-BUCKET_ROWS = 4_000
+#: Copies of one row that a task numbers at once.
+COPY_ROWS = 1 << 16
 MAX_SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
 
@@ -61,15 +64,21 @@ def shuffle_key(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
-def _ring(rows: DataFrame, n: int) -> DataFrame:
-    """``rows`` plus ``begin``: where a row's tokens begin on its source's ring, by ``h``."""
-    bits = max(0, math.ceil(math.log2(max(1, n) / BUCKET_ROWS)))
-    rows = rows.withColumn("range", F.shiftright("h", 60 - bits))
-    sums = rows.groupBy("k", "range").agg(F.sum("size").alias("tokens"))
+def _ring(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``begin``: where a row's tokens begin on its source's ring, by ``h``, ``key`` and ``size``.
+
+    The ring is cut by ranges of all three, so equal hashes are no hot task.
+    """
+    order = ["h", "key", "size"]
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(shuffle_width(spark), "k", *order)
+    ranged = stored(ranged.withColumn("range", F.spark_partition_id()), "ring")
+    # At most partitions + sources rows, as a partition is one range.
+    sums = ranged.groupBy("k", "range").agg(F.sum("size").alias("tokens"))
     earlier = Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("k", "range", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("k", "range").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(starts, ["k", "range"])
+    inside = Window.partitionBy("k", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(starts), ["k", "range"])
     return placed.withColumn("begin", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
@@ -138,18 +147,20 @@ def schedule(spark, ranks: list[int]) -> DataFrame:
     return main.unionAll(tail.select((F.col("at") + F.col("rank") - F.col("low")).alias("slot"), "k", "rank"))
 
 
+def _sized(documents: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
+    """``key, source, size, h`` of each document."""
+    name = F.when(F.col(key).isNull(), F.concat(F.lit("null:"), F.md5(F.col(text)))).otherwise(F.col(key).cast("string"))
+    return documents.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
+                            word_count(F.col(text)).alias("size"), shuffle_key(name, seed).alias("h"))
+
+
 def _dealt(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, seed: str = "mix",
+    rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Parts of rows with the slots that take them and how many ``tokens``; sources; rows of size 0."""
-    spark = documents.sparkSession
-    rows = stored(
-        documents.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"),
-                         word_count(F.col(text)).alias("size"), shuffle_key(F.col(key), seed).alias("h")),
-        "sizes",
-    )
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    """Parts of ``_sized`` rows with the slots that take them and how many ``tokens``; sources; rows of size 0."""
+    spark = rows.sparkSession
+    rows = stored(rows, "sizes")
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size"))
     totals = totals.limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -163,10 +174,9 @@ def _dealt(
         [(i, r["source"], r["size"], g, c, b) for i, (r, g, c, b) in enumerate(zip(totals, goal, take, blocks))],
         "k int, name string, source_size long, target double, take long, blocks long",
     )
-    n = sum(r["n"] for r in totals)
     named = rows.join(F.broadcast(names), rows["source"].eqNullSafe(names["name"]))
     empty = named.filter("size = 0").select("key", "size", "source_size", "target")
-    placed = _ring(named.filter("size > 0").select("key", "size", "h", "k"), n)
+    placed = _ring(named.filter("size > 0").select("key", "size", "h", "k"))
     parts = placed.select(
         "key", "k", "size", "begin",
         F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)))
@@ -185,13 +195,17 @@ def _dealt(
     return dealt.withColumn("from", F.greatest("begin", F.col("block") * block) - F.col("begin")), names, empty
 
 
-def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 2.0,
+def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
         **options) -> DataFrame:
     """Per row: ``key, size, source_size, target`` (its source's), ``taken`` (tokens, repeats counted) and ``slots``.
 
     ``slots`` has the first slot of each time that the ring comes to the row, in order.
     """
-    dealt, names, empty = _dealt(documents, key, text, source, most=most, **options)
+    return _mix(_sized(documents, key, text, source, seed), **options)
+
+
+def _mix(rows: DataFrame, most: float = 2.0, **options) -> DataFrame:
+    dealt, names, empty = _dealt(rows, most=most, **options)
     columns = ["key", "size", "source_size", "target"]
     # No source goes round more than ``most`` times, so these are few.
     firsts = [F.min(F.when((F.col("tokens") > 0) & (F.col("turn") == t), F.col("slot"))) for t in range(math.ceil(most))]
@@ -204,25 +218,46 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     return taken.select(*columns, "taken", "slots").unionAll(none)
 
 
-def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def pieces(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix",
+           **options) -> DataFrame:
     """The mix in its order: ``slot, key, from, to``, the tokens (from 0, without the last) that each slot takes."""
-    dealt, _, _ = _dealt(documents, key, text, source, **options)
+    dealt, _, _ = _dealt(_sized(documents, key, text, source, seed), **options)
     taken = dealt.filter("tokens > 0").orderBy("slot", "begin", "key")
     return taken.select("slot", "key", "from", (F.col("from") + F.col("tokens")).alias("to"))
 
 
-def mixed(documents: DataFrame, text: str = "text", source: str = "source", slot: str | None = None,
-          **options) -> DataFrame:
+def mixed(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+          slot: str | None = None, ordered: bool = True, seed: str = "mix", **options) -> DataFrame:
     """The rows of ``documents`` in as many whole copies as the mix takes of them, nearest, in schedule order.
 
-    A copy stands at the first slot that takes from it, which goes into the column ``slot``, if named.
+    A copy stands at the first slot that takes from it, which goes into the column ``slot``, if named.  Without
+    ``ordered`` each partition is in schedule order for itself, which saves a second shuffle of the texts.
     """
-    row, taken_row, slots, place = (private(n) for n in ("row", "taken", "slots", "slot"))
-    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mix(numbered, row, text, source, **options).filter("size > 0").select(
-        F.col("key").alias(taken_row), F.slice("slots", F.lit(1), copies).alias(slots)
+    place, at, copy = (private(n) for n in ("place", "slot", "copy"))
+    placed = with_place(documents, place, "mix-rows")
+    rows = stored(
+        placed.select(F.col(place).alias("place"), row_digest(documents.columns, text).alias("row"),
+                      row_digest([key, text], text).alias("name"), F.col(source).cast("string").alias("source"),
+                      word_count(F.col(text)).alias("size")),
+        "mix-sizes",
+    )
+    # Equal rows stand for each other: one of them gives its text, and each copy is dealt with by its number.
+    alike = rows.groupBy("row", "name", "source", "size").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    low = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPY_ROWS))).alias("low")
+    runs = alike.select("row", "name", "source", "size", "n", low).repartition("row", "low")
+    high = F.least(F.col("low") + COPY_ROWS, "n") - 1
+    copies = runs.select("row", "name", "source", "size", F.explode(F.sequence(F.col("low"), high)).alias("copy"))
+    h = shuffle_key(F.concat_ws("#", "name", "copy"), seed)
+    dealt = _mix(
+        copies.select(F.concat_ws("#", "row", "copy").alias("key"), "source", "size", h.alias("h")), **options
+    )
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = dealt.filter("size > 0").select(
+        F.substring("key", 1, 32).alias("row"), F.col("key").alias(copy),
+        F.explode(F.slice("slots", F.lit(1), times)).alias(at),
     )
-    chosen = numbered.join(taken.filter(F.size(slots) > 0), F.col(row) == F.col(taken_row))
-    each = chosen.select("*", F.explode(slots).alias(place)).orderBy(place, row).drop(row, taken_row, slots)
-    return each.drop(place) if slot is None else each.withColumnRenamed(place, slot)
+    where = taken.join(alike.select("row", F.col("place").alias(place)), "row").select(place, copy, at)
+    each = placed.join(where, place)
+    each = each.orderBy(at, copy) if ordered else each.sortWithinPartitions(at, copy)
+    each = each.select(*documents.columns, at)
+    return each.drop(at) if slot is None else each.withColumnRenamed(at, slot)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.llm.text import private, shuffle_width, stored
+from pricewell.llm.text import private, row_digest, shuffle_width, stored, with_place
 
 
 def rendezvous_shard(key: Column, weights: list[float]) -> Column:
@@ -81,3 +81,22 @@ def assign_shards(
         rendezvous_shard(F.col(key), [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
     )
     return number_within(placed, "shard", [key, *order])
+
+
+def shard_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, weights: list[float] | None = None,
+) -> DataFrame:
+    """``assign_shards`` for rows with long texts: places are found on narrow rows, and texts are shuffled once.
+
+    Equal keys, null ones too, are ordered by a digest of the row, so only equal rows can change places, and rows without a
+    key spread over many ranges.
+    """
+    place = private("place")
+    placed = with_place(docs, place, "shard-rows")
+    narrow = stored(
+        placed.select(F.col(key).alias("key"), row_digest(docs.columns, text).alias("row"), F.col(place).alias("place")),
+        "shard-keys",
+    )
+    own = ["shard", "slot", "grown_shard"]
+    found = assign_shards(narrow, "key", shards, weights, ["row", "place"]).select(F.col("place").alias(place), *own)
+    return placed.drop(*own).join(found, place).drop(place)
