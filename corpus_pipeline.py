@@ -29,18 +29,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item; rows without an id and items without an id count like all others."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole copies of documents, as many as the mix takes."""
-    return mixing.mixed(docs)
+    """Whole copies of documents, as many as the mix takes; each file is in schedule order.
+
+    Nulls, empty texts and repeated rows: see ``mixing``.  The result depends on the rows alone, not on their files.
+    """
+    return mixing.mixed(docs, ordered=False)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``shard``, ``slot`` and ``grown_shard``."""
-    return sharding.assign_shards(docs, "doc_id", 24)
+    """Documents with ``shard``, ``slot`` (by id, then by a digest of the row) and ``grown_shard``.
+
+    Documents without an id share a shard, as their key does; copies stand beside each other.
+    """
+    return sharding.shard_documents(docs, "doc_id", shards=24)
 
 
 STAGES = [
