@@ -1,9 +1,8 @@
 """Descriptive queries over the ``prices`` table.
 
-Distinct counts come from a small roll-up of the distinct combinations, so the big
-table is never expanded once per distinct column.  Medians and percentiles are
-exact and safe for huge groups (``functions.quantiles``).  ``digits=None`` turns the
-presentation rounding off.
+Medians, percentiles, spreads and distinct counts of a query come from one frequency table
+(``functions.quantiles``): one scan, exact, and safe for huge groups.  ``digits=None`` turns
+the presentation rounding off.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricewell.functions.expressions import percent_of, price_bucket, rounded, variation, years_covered
+from pricewell.functions.expressions import percent_of, price_bucket, rounded, years_covered
 from pricewell.functions.names import match_name
 from pricewell.functions.quantiles import aggregate_with_percentiles
 
@@ -48,28 +47,6 @@ def _asc(*names: str) -> list[Column]:
     return [F.asc_nulls_last(n) for n in names]
 
 
-def _distinct_counts(prices: DataFrame, keys: list[str], counted: dict[str, str]) -> DataFrame:
-    """``records`` and distinct counts per key, from the distinct combinations."""
-    rollup = prices.groupBy(*dict.fromkeys(keys + list(counted.values()))).agg(
-        F.count("*").alias("_n")
-    )
-    return rollup.groupBy(*keys).agg(
-        F.sum("_n").alias("records"),
-        *[F.countDistinct(c).alias(name) for name, c in counted.items()],
-    )
-
-
-def _on_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Join two small results on keys that may be NULL."""
-    other = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(other, cond, "inner").drop(*[f"_r_{k}" for k in keys])
-
-
 def _for_year(prices: DataFrame, year: int | None) -> DataFrame:
     return prices if year is None else prices.where(F.col("year") == F.lit(year))
 
@@ -86,38 +63,26 @@ def below_price(prices: DataFrame, bound: float, column: str = PRICE) -> DataFra
 # --- overview and lists -----------------------------------------------------------
 
 def overview(prices: DataFrame, digits: int | None = 2) -> DataFrame:
-    combos = prices.groupBy("commodity", "market", "state").agg(
-        F.count("*").alias("_n"),
-        F.count(PRICE).alias("_priced"),
-        F.sum(PRICE).alias("_sum"),
-        F.min("arrival_date").alias("_from"),
-        F.max("arrival_date").alias("_to"),
-    )
-    facts = combos.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
-        F.countDistinct("commodity").alias("unique_crops"),
-        F.countDistinct("market").alias("unique_markets"),
-        F.countDistinct("state").alias("unique_states"),
-        F.min("_from").alias("date_from"),
-        F.max("_to").alias("date_to"),
-        rounded(F.try_divide(F.sum("_sum"), F.sum("_priced")), digits).alias("avg_modal_price"),
+    out = aggregate_with_percentiles(
+        prices, [], PRICE, {"median_modal_price": 0.5},
+        {"total_rows": "rows", "avg_modal_price": "mean"},
+        {"unique_crops": "commodity", "unique_markets": "market", "unique_states": "state"},
+        {"date_from": ("min", "arrival_date"), "date_to": ("max", "arrival_date")},
     )
-    middle = aggregate_with_percentiles(prices, [], PRICE, {"_median": 0.5}).select(
-        rounded(F.col("_median"), digits).alias("median_modal_price")
+    return out.select(
+        "total_rows", "unique_crops", "unique_markets", "unique_states", "date_from", "date_to",
+        *[rounded(F.col(c), digits).alias(c) for c in ("avg_modal_price", "median_modal_price")],
     )
-    # two one-row results side by side, without a join
-    both = facts.unionByName(middle, allowMissingColumns=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def list_crops(prices: DataFrame, min_records: int = 100, digits: int | None = 2) -> DataFrame:
-    counts = _distinct_counts(prices, ["commodity"], {"markets": "market", "states": "state"}).where(
-        F.col("records") >= min_records
+    out = aggregate_with_percentiles(
+        prices, ["commodity"], PRICE, {"median_price": 0.5}, {"records": "rows"},
+        {"markets": "market", "states": "state"},
     )
-    medians = aggregate_with_percentiles(prices, ["commodity"], PRICE, {"median_price": 0.5})
     return (
-        _on_keys(counts, medians, ["commodity"])
-        .withColumn("median_price", rounded(F.col("median_price"), digits))
+        out.where(F.col("records") >= min_records)
+        .select("commodity", "records", "markets", "states", rounded(F.col("median_price"), digits).alias("median_price"))
         .orderBy(*_desc("records"), *_asc("commodity"))
     )
 
@@ -137,13 +102,12 @@ def list_states(prices: DataFrame, commodity: str | None = None) -> DataFrame:
 
 def state_summary(prices: DataFrame, year: int | None = None, digits: int | None = 2) -> DataFrame:
     rows = _for_year(prices, year)
-    counts = _distinct_counts(rows, ["state"], {"crops": "commodity", "markets": "market"})
-    stats = aggregate_with_percentiles(
-        rows, ["state"], PRICE, {"median_price": 0.5},
-        [F.stddev_samp(PRICE).alias("price_stddev")],
+    out = aggregate_with_percentiles(
+        rows, ["state"], PRICE, {"median_price": 0.5}, {"records": "rows", "price_stddev": "std"},
+        {"crops": "commodity", "markets": "market"},
     )
     return (
-        _on_keys(counts, stats, ["state"])
+        out
         .select(
             "state", "crops", "markets", "records",
             rounded(F.col("median_price"), digits).alias("median_price"),
@@ -174,8 +138,7 @@ def largest_then_by(df: DataFrame, by: str, k: int, then: str, *ties: str) -> Da
 def seasonal_average(prices: DataFrame, commodity: str, digits: int | None = 2) -> DataFrame:
     out = aggregate_with_percentiles(
         match_name(prices, "commodity", commodity), ["month"], PRICE, {"median_price": 0.5},
-        [F.avg(PRICE).alias("avg_price"), F.stddev_samp(PRICE).alias("price_stddev"),
-         F.count("*").alias("records")],
+        {"avg_price": "mean", "price_stddev": "std", "records": "rows"},
     )
     return out.select(
         "month",
@@ -186,7 +149,7 @@ def seasonal_average(prices: DataFrame, commodity: str, digits: int | None = 2)
 
 def monthly_pattern(prices: DataFrame, digits: int | None = 2) -> DataFrame:
     out = aggregate_with_percentiles(
-        prices, ["month"], PRICE, {"median_price": 0.5}, [F.stddev_samp(PRICE).alias("std_price")]
+        prices, ["month"], PRICE, {"median_price": 0.5}, {"std_price": "std"}
     )
     return out.select(
         "month", *[rounded(F.col(c), digits).alias(c) for c in ("median_price", "std_price")]
@@ -196,7 +159,7 @@ def monthly_pattern(prices: DataFrame, digits: int | None = 2) -> DataFrame:
 def yearly_trend(prices: DataFrame, commodity: str | None = None, digits: int | None = 2) -> DataFrame:
     out = aggregate_with_percentiles(
         match_name(prices, "commodity", commodity), ["year"], PRICE, {"median_price": 0.5},
-        [F.avg(PRICE).alias("avg_price"), F.count("*").alias("records")],
+        {"avg_price": "mean", "records": "rows"},
     )
     return out.select(
         "year", *[rounded(F.col(c), digits).alias(c) for c in ("median_price", "avg_price")], "records"
@@ -271,8 +234,7 @@ def top_volatile_markets(
     out = aggregate_with_percentiles(
         match_name(prices, "commodity", commodity), ["market", "state"], PRICE,
         {"median_price": 0.5},
-        [F.stddev_samp(PRICE).alias("volatility"), variation(PRICE).alias("cv"),
-         F.count("*").alias("records")],
+        {"volatility": "std", "cv": "cv", "records": "rows"},
     )
     return (
         out.where(F.col("records") >= min_records)
@@ -305,8 +267,7 @@ def quality_audit(prices: DataFrame) -> DataFrame:
 def price_distribution(prices: DataFrame, digits: int | None = 2) -> DataFrame:
     out = aggregate_with_percentiles(
         prices, [], PRICE, {"p5": 0.05, "median": 0.5, "p95": 0.95},
-        [F.min(PRICE).alias("min"), F.avg(PRICE).alias("mean"), F.max(PRICE).alias("max"),
-         F.stddev_samp(PRICE).alias("std")],
+        {"min": "low", "mean": "mean", "max": "high", "std": "std"},
     )
     order = ["min", "median", "mean", "max", "std", "p5", "p95"]
     return out.select(*[rounded(F.col(c), digits).alias(c) for c in order])
@@ -326,9 +287,7 @@ def pair_summary(
 ) -> DataFrame:
     out = aggregate_with_percentiles(
         prices, ["commodity", "state"], PRICE, {"median_price": 0.5},
-        [F.count("*").alias("records"), F.min(PRICE).alias("low"), F.max(PRICE).alias("high"),
-         F.avg(PRICE).alias("mean_price"), F.stddev_samp(PRICE).alias("std_price"),
-         variation(PRICE).alias("cv")],
+        {"records": "rows", "low": "low", "high": "high", "mean_price": "mean", "std_price": "std", "cv": "cv"},
     ).where(F.col("records") >= min_records)
     return out.select(
         "commodity", "state", "records",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewell.functions.quantiles import aggregate_with_percentiles
+from pricewell.functions.quantiles import grouped_percentiles
 from pricewell.schema import SERIES_KEY
 
 EMPTY_SHARE = 1e-6  # stands for the share of an empty bin
@@ -32,7 +32,7 @@ def population_stability_index(
     )
     if not inner:
         return sizes.select(*key, F.when((F.col("_ne") > 0) & (F.col("_na") > 0), 0.0).alias("psi"))
-    edges = aggregate_with_percentiles(rows.where(expected), key, "y", inner).select(
+    edges = grouped_percentiles(rows.where(expected), key, "y", inner).select(
         *key, F.array_distinct(F.array(*inner)).alias("_edges")
     )
     counts = (

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.functions.names import match_loosely, match_name
-from pricewell.functions.quantiles import MAX_GROUP_ROWS, aggregate_with_percentiles
+from pricewell.functions.quantiles import grouped_percentiles
 from pricewell.schema import SERIES_KEY
 
 
@@ -19,14 +19,14 @@ def by_date(key: list[str] = SERIES_KEY, date: str = "date"):
     return Window.partitionBy(*key).orderBy(date)
 
 
-def daily_median(
-    prices: DataFrame, key: list[str] = SERIES_KEY, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Median price per series and arrival date."""
-    out = aggregate_with_percentiles(
-        prices, key + ["arrival_date"], "modal_price", {"y": 0.5}, max_group_rows=max_group_rows
-    )
-    return out.where(F.col("arrival_date").isNotNull()).withColumnRenamed("arrival_date", "date")
+def daily_median(prices: DataFrame, key: list[str] = SERIES_KEY) -> DataFrame:
+    """Median price per series and arrival date.
+
+    A buffer holds the distinct prices of one series and day, counted map-side, however many rows that day has.
+    """
+    dated = prices.where(F.col("arrival_date").isNotNull())
+    out = grouped_percentiles(dated, key + ["arrival_date"], "modal_price", {"y": 0.5})
+    return out.withColumnRenamed("arrival_date", "date")
 
 
 def densify(daily: DataFrame, key: list[str] = SERIES_KEY, fill: bool = True) -> DataFrame:
@@ -186,11 +186,12 @@ def unstandardise(df: DataFrame, column: str = "z", name: str = "y") -> DataFram
 
 def describe(panel: DataFrame, digits: int | None = 2, key: list[str] = SERIES_KEY) -> DataFrame:
     """Count, mean, deviation, quartiles, range and dates of every series."""
-    out = aggregate_with_percentiles(
-        panel, key, "y", {"p25": 0.25, "p50": 0.5, "p75": 0.75},
-        [F.count("y").alias("count"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"),
-         F.min("y").alias("min"), F.max("y").alias("max"),
-         F.min("date").alias("first_date"), F.max("date").alias("last_date")],
-    )
+    # A series has at most one value per day.
+    quartiles = F.percentile("y", [0.25, 0.5, 0.75]).alias("_pct")
+    out = panel.groupBy(*key).agg(
+        F.count("y").alias("count"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"),
+        F.min("y").alias("min"), F.max("y").alias("max"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), quartiles,
+    ).withColumns({name: F.col("_pct")[i] for i, name in enumerate(("p25", "p50", "p75"))}).drop("_pct")
     nums = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     return out if digits is None else out.withColumns({c: F.round(c, digits) for c in nums})
