@@ -53,7 +53,17 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component below 1, so that squares stay in range.
+
+    Such factors are exact: angles and, for components of usual size, all bits of the scores stay.
+    """
+    _, power = np.frexp(np.abs(rows).max(axis=1))
+    return np.ldexp(rows, -power[:, None])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
@@ -235,7 +245,7 @@ def _calibrated(index: Index, recall: float) -> int:
 def _scored(rows: pa.Table, searches: pa.Table, k: int) -> pa.Table:
     """The best k + 1 ids in this bin for each search of this block, in the leaves that it visits."""
     rows = rows.sort_by("leaf")
-    v, asked = matrix(rows.column("v")), matrix(searches.column("v"))
+    v, asked = scaled(matrix(rows.column("v"))), scaled(matrix(searches.column("v")))
     ids, names = rows.column("ids").to_pylist(), searches.column("search").to_pylist()
     leaves, first = np.unique(rows.column("leaf").to_numpy(), return_index=True)
     bounds = [*zip(first.tolist(), [*first[1:].tolist(), len(v)])]

@@ -75,6 +75,20 @@ def test_neighbours_reach_the_recall_and_defined_cases(frame):
     assert ann_tree.build_index(table.limit(0)) is None
 
 
+def test_vectors_of_extreme_size_keep_their_angles(spark):
+    sizes = (1.0, 1e-200, 1e200, 5e-324, 1.7e308)
+    rows = [(50 * i, [s, s, s, s]) for i, s in enumerate(sizes)] + [(7, [1e-200, 0.0, 0.0, 0.0]), (8, [-1e200, 1e200, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann_tree.build_index(table, k=6)
+    got = {}
+    for r in ann_tree.nearest(index, table.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 50, 100, 150, 200):
+        found = sorted(got[q])
+        assert [i for _, i, _ in found] == [i for i in (0, 50, 100, 150, 200) if i != q] + [7, 8]
+        assert [s for _, _, s in found] == [1.0] * 4 + [0.5, 0.0]
+
+
 def test_one_row_of_each_group_stays(spark):
     one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ape", "bee", "cow", "dog"))
     rows = [
