@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def star_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as market records: part brand = commodity, supplier nation = state.
 
-    Join strategies are left to Spark, which knows the file sizes.
+    Join strategies are left to Spark, which knows the file sizes.  The tables are joined to the lines one by one,
+    since it takes a join of two small tables for a large one and would shuffle the lines to meet it.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     nation = read("nation").select("n_nationkey", "n_name")
@@ -18,9 +19,10 @@ def star_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read("lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
-    places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
-        places, F.col("l_suppkey") == F.col("s_suppkey")
+    joined = (
+        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     )
     day = F.to_date("l_shipdate")
     return joined.select(

@@ -250,3 +250,55 @@ def test_model_queries_run_at_production_size(spark, monkeypatch):
         "retrain": {"steps": 30, "trees": full, "validation": 90}, "weights": (full, 90), "evaluate": (90, full),
         "fits": [full, full], "steps": 30, "top": 8,
     }
+
+
+def counted(spark, df, column):
+    """``df``, and how often its rows are computed: the number counts passes of a row through a Python function."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf(df.schema[column].dataType)
+    def same(value):
+        calls.add(1)
+        return value
+
+    return df.withColumn(column, same.asNondeterministic()(column)), calls
+
+
+def records(spark, n=40):
+    """Raw records of the years 1995 to 2001, some without names."""
+    return spark.sql(f"""SELECT IF(id % 5 = 0, NULL, concat(' green  STATE ', id % 3)) AS state, concat('D', id % 2) AS district,
+        IF(id % 7 = 0, NULL, 'M') AS market, concat('brand#', id % 2) AS commodity, 'V' AS variety, 'G' AS grade,
+        make_date(1995 + id % 7, 1 + id % 12, 1 + id % 3) AS arrival_date, 1.0D AS min_price, 3.0D AS max_price,
+        CAST(id AS DOUBLE) AS modal_price FROM range({n})""").select(*P.RAW_PRICES.fieldNames())
+
+
+def test_yearly_files_compute_their_rows_once(spark, monkeypatch):
+    from checks import storage as checked
+
+    rows, calls = counted(spark, P.clean_records(records(spark)), "grade")
+    monkeypatch.setattr(checked, "star_prices", lambda s, d: rows)
+    base = checked._files(spark, "unused")
+    assert calls.value == 40
+    got = P.read_year_files(spark, base, 1995, 2001)
+    assert sorted(r["modal_price"] for r in got.collect()) == [float(i) for i in range(40)]
+    assert P.read_year_files(spark, base, 1997, 1997).select("year").distinct().collect() == [(1997,)]
+
+
+def test_lines_are_not_shuffled_to_meet_small_tables(spark):
+    base = new_path(spark, "star")
+    for name, row in {
+        "nation": "1 AS n_nationkey, 'N' AS n_name", "supplier": "id AS s_suppkey, 'S' AS s_name, 1 AS s_nationkey",
+        "part": "id AS p_partkey, 'B' AS p_brand, 'T' AS p_type, 2.0D AS p_retailprice",
+        "lineitem": "id AS l_partkey, id AS l_suppkey, 2.0D AS l_quantity, 6.0D AS l_extendedprice, 'F' AS l_returnflag, "
+                    "TIMESTAMP_NTZ'1996-02-03 00:00:00' AS l_shipdate",
+    }.items():
+        spark.sql(f"SELECT {row} FROM range({1 if name == 'nation' else 3})").coalesce(1).write.parquet(f"{base}/{name}.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # each table is far below, a product of two is above
+    try:
+        prices = star_prices(spark, base)
+        plan = prices._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("BroadcastHashJoin") == 3 and "hashpartitioning" not in plan
+    assert prices.select("district", "modal_price", "year").collect() == [(f"N-D{i}", 3.0, 1996) for i in range(3)]
