@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ YEAR_FILE = "data_{year}.parquet"
 NAME_COLUMNS = ("commodity", "state")
 #: What one price record is about; a later batch replaces all rows that it has of a key.
 RECORD_KEY = ("state", "district", "market", "commodity", "variety", "grade", "arrival_date")
+#: Order of the rows in the tree.
+TREE_ORDER = ("year", "commodity", "state", "arrival_date", "market")
 CORRUPT = "_corrupt_record"
 
 
@@ -80,10 +82,10 @@ def open_prices(
     return prices if years is None else prices.where(F.col("year").between(*years))
 
 
-def clean_records(raw: DataFrame) -> DataFrame:
-    """Raw records with normal names and the derived ``year`` and ``month``."""
+def clean_records(raw: DataFrame, *keep: str) -> DataFrame:
+    """Raw records with normal names and the derived ``year`` and ``month``, and the columns ``keep``."""
     out = with_normal_names(require_columns(raw, RAW_PRICES), *NAME_COLUMNS)
-    return out.withColumns(calendar_columns()).select(*PRICES.fieldNames())
+    return out.withColumns(calendar_columns()).select(*PRICES.fieldNames(), *keep)
 
 
 def raw_reader(reader, fmt: str):
@@ -107,13 +109,33 @@ def write_tree(prices: DataFrame, root: str, mode: str = "overwrite", sort_by: I
     a name skips most row groups.  ``overwrite`` replaces the years that are present in
     ``prices`` and leaves others as they are.
     """
-    order = list(sort_by or ("year", "commodity", "state", "arrival_date", "market"))
+    order = list(sort_by or TREE_ORDER)
+    write_ranged(prices.repartitionByRange(*order), root, mode, order)
+
+
+def write_ranged(ranged: DataFrame, root: str, mode: str, order: Iterable[str]) -> None:
+    """Sort each range and write it by year."""
     (
-        prices.repartitionByRange(*order).sortWithinPartitions(*order)
+        ranged.sortWithinPartitions(*order)
         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(root)
     )
 
 
+def merged(held: DataFrame, batch: DataFrame) -> DataFrame:
+    """All rows of ``batch``, and those of ``held`` of whose ``RECORD_KEY`` it has none, ranged by ``TREE_ORDER``.
+
+    The ranges follow columns of the key (the year is that of the date), so rows of one key meet in the shuffle that
+    the tree needs anyway.
+    """
+    both = held.withColumn("fresh", F.lit(False)).unionByName(batch.withColumn("fresh", F.lit(True)))
+    key = [*TREE_ORDER, *(c for c in RECORD_KEY if c not in TREE_ORDER)]
+    replaced = F.max("fresh").over(Window.partitionBy(*key))
+    return (
+        both.repartitionByRange(*TREE_ORDER).withColumn("replaced", replaced)
+        .where(F.col("fresh") | ~F.col("replaced")).drop("fresh", "replaced")
+    )
+
+
 def ingest(
     spark: SparkSession, raw_path: str | list[str], root: str, fmt: str = "json", mode: str = "merge",
     quarantine: str | None = None,
@@ -128,26 +150,29 @@ def ingest_rows(raw: DataFrame, root: str, mode: str = "merge", quarantine: str
     ``merge`` keeps what the touched years hold besides: rows of the batch replace those of their
     ``RECORD_KEY``, so a batch may come twice.  ``overwrite`` replaces the years of the batch, ``append`` only adds.
     Lines that cannot be read and records without a date go to ``quarantine`` (default: beside
-    ``root``) as ``record``, ``reason`` and ``noted_at``.  The batch is written down first, so a second look at it
-    does not depend on the raw files, and the touched years are put together in a folder of their own before they
-    replace the old ones.
+    ``root``) as ``record``, ``reason`` and ``noted_at``.  The batch, read and cleaned, is written down first, and so
+    is what the touched years hold: each is read again without the raw files or the folders that are replaced.
     """
     spark = raw.sparkSession
     names = RAW_PRICES.fieldNames()
     staged = new_path(spark, "ingest-batch")
-    raw.select(*names, CORRUPT).write.parquet(staged)
-    batch = spark.read.parquet(staged)
     broken, undated = F.col(CORRUPT).isNotNull(), F.col("arrival_date").isNull()
-    bad = batch.where(broken | undated).select(
-        F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*names))).alias("record"),
-        F.when(broken, "unreadable").otherwise("no arrival_date").alias("reason"), F.current_timestamp().alias("noted_at"))
-    good = clean_records(batch.where(~broken & ~undated).select(*names))
-    if not bad.isEmpty():
-        bad.write.mode("append").parquet(quarantine or quarantine_path(root))
+    noted = raw.select(
+        *names, F.when(broken, "unreadable").when(undated, "no arrival_date").alias("reason"),
+        F.when(broken, F.col(CORRUPT)).when(undated, F.to_json(F.struct(*names))).alias("record"))
+    clean_records(noted, "reason", "record").write.parquet(staged)
+    batch = spark.read.parquet(staged)
+    fit = F.col("reason").isNull()
+    good = batch.where(fit).select(*PRICES.fieldNames())
+    # one row per calendar year and reason
+    found = batch.select("reason", F.when(fit, F.col("year")).alias("year")).distinct().collect()
+    years = [r["year"] for r in found if r["reason"] is None]
+    if any(r["reason"] for r in found):
+        batch.where(~fit).select("record", "reason", F.current_timestamp().alias("noted_at")).write.mode("append").parquet(
+            quarantine or quarantine_path(root))
     if mode != "merge":
         write_tree(good, root, mode)
         return
-    years = [r["year"] for r in good.select("year").distinct().collect()]  # one row per calendar year
     if not years:
         return
     try:
@@ -157,11 +182,9 @@ def ingest_rows(raw: DataFrame, root: str, mode: str = "merge", quarantine: str
             raise
         write_tree(good, root)
         return
-    fresh = good.select(*[F.col(c).alias(f"_{c}") for c in RECORD_KEY]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in RECORD_KEY]
-    merged = new_path(spark, "ingest-merged")
-    write_tree(held.select(*PRICES.fieldNames()).join(fresh, same, "left_anti").unionByName(good), merged)
-    write_tree(read_tree(spark, merged), root)
+    kept = new_path(spark, "ingest-held")
+    held.select(*PRICES.fieldNames()).write.parquet(kept)
+    write_ranged(merged(spark.read.schema(PRICES).parquet(kept), good), root, "overwrite", TREE_ORDER)
 
 
 def quarantine_path(root: str) -> str:

@@ -302,3 +302,38 @@ def test_lines_are_not_shuffled_to_meet_small_tables(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.count("BroadcastHashJoin") == 3 and "hashpartitioning" not in plan
     assert prices.select("district", "modal_price", "year").collect() == [(f"N-D{i}", 3.0, 1996) for i in range(3)]
+
+
+def test_merge_takes_one_shuffle_and_compares_whole_keys(spark):
+    held = P.clean_records(records(spark, 120)).withColumn("modal_price", -1 - F.col("modal_price"))
+    held = held.unionByName(held.where("modal_price > -20"))  # some come twice
+    batch = P.clean_records(records(spark, 60).where("modal_price % 3 = 0"))
+    batch = batch.unionByName(batch.where("modal_price < 10")).withColumn("variety", F.when(F.col("modal_price") % 2 == 0, "V"))
+    out = P.merged(held, batch)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange ") == 1 and plan.count("Exchange rangepartitioning") == 1
+    key = lambda r: tuple(r[c] for c in P.RECORD_KEY)
+    new = batch.collect()
+    keys = {key(r) for r in new}
+    wanted = [r for r in held.collect() if key(r) not in keys] + new
+    assert 0 < len(wanted) < held.count() + len(new)
+    assert sorted(map(str, out.collect())) == sorted(map(str, wanted))
+
+
+def test_ingest_cleans_and_shuffles_once(spark, monkeypatch):
+    calls = []
+
+    def once(df, *names, clean=P.with_normal_names):
+        out, n = counted(spark, clean(df, *names), "grade")
+        calls.append(n)
+        return out
+
+    monkeypatch.setattr(P, "with_normal_names", once)
+    root = new_path(spark, "once")
+    for _ in range(2):  # into an empty tree, and merged
+        raw = new_path(spark, "raw")
+        records(spark).write.json(raw)
+        P.ingest(spark, raw, root)
+    assert [n.value for n in calls] == [40, 40]
+    assert P.read_tree(spark, root).count() == 40
