@@ -58,10 +58,18 @@ def _view(s, d):
 add("prices_view", _view, "SELECT state, count(*) AS records FROM prices GROUP BY state")
 
 
+#: Raw files are compressed, and so many records at most go to one, as a compressed file is read by one task.
+RAW_CODEC, RAW_RECORDS = "lz4", 250_000
+
+
+def _write_raw(rows, path, fmt):
+    (rows.write.option("header", True).option("compression", RAW_CODEC).option("maxRecordsPerFile", RAW_RECORDS)
+     .format(fmt).save(path))
+
+
 def _raw(s, d, fmt):
     path = new_path(s, "raw")
-    rows = star_prices(s, d).select(*RAW_PRICES.fieldNames())
-    (rows.write.json(path) if fmt == "json" else rows.write.option("header", True).csv(path))
+    _write_raw(star_prices(s, d).select(*RAW_PRICES.fieldNames()), path, fmt)
     return path
 
 
@@ -91,7 +99,7 @@ def _two_batches(s, d):
     for part in (rows.where(month <= 6), rows.where(month >= 6).withColumn(
             "modal_price", F.when(month == 6, F.col("modal_price") + 1000).otherwise(F.col("modal_price")))):
         path = new_path(s, "batch")
-        part.write.json(path)
+        _write_raw(part, path, "json")
         s.createDataFrame([(line,) for line in BROKEN], "value string").write.mode("append").text(path)
         P.ingest(s, path, root)
     tree = P.read_tree(s, root).groupBy("year", "month").agg(

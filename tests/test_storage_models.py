@@ -337,3 +337,19 @@ def test_ingest_cleans_and_shuffles_once(spark, monkeypatch):
         P.ingest(spark, raw, root)
     assert [n.value for n in calls] == [40, 40]
     assert P.read_tree(spark, root).count() == 40
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_raw_files_are_compressed_and_read_whole(spark, monkeypatch, fmt):
+    from checks import storage as checked
+
+    rows = records(spark, 2000).withColumn("state", F.trim("state"))  # CSV files are written without outer blanks
+    monkeypatch.setattr(checked, "star_prices", lambda s, d: rows.repartition(2))
+    monkeypatch.setattr(checked, "RAW_RECORDS", 300, raising=False)
+    raw = checked._raw(spark, "unused", fmt)
+    files = spark.read.format("binaryFile").load(raw).select("path", "length").collect()
+    text = rows.select(F.sum(F.length(F.to_json(F.struct("*")) if fmt == "json" else F.concat_ws(",", "*")))).first()[0]
+    assert sum(f["length"] for f in files) < 0.5 * text and len(files) == 8
+    wanted = rows.fillna("") if fmt == "csv" else rows
+    got = P.read_raw(spark, raw, fmt).drop(P.CORRUPT)
+    assert sorted(map(str, got.fillna("").collect() if fmt == "csv" else got.collect())) == sorted(map(str, wanted.collect()))
