@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: ASCII names that are normal as they are: words of a capital and small letters, other signs, single blanks between.
+#: Possessive, so that long texts are matched without recursion.
+NORMAL = r"^(?! )(?:[A-Z][a-z]*(?![A-Za-z])|[!-@\[-`{-~]| (?! |$))*+\z"
+
+
 def normalise_text(text: str) -> str:
     """Trim, title-case and collapse whitespace of a literal."""
     return re.sub(r"\s+", " ", text.strip().title())
@@ -16,9 +21,14 @@ def normalise_text(text: str) -> str:
 def normalise_name(col: Column | str) -> Column:
     """The same for a column: a letter after a non-letter is a capital, others are small.
 
-    ``initcap`` differs, since it only looks at blanks.
+    ``initcap`` differs, since it only looks at blanks.  Names that are plainly normal are not taken apart.
     """
     c = F.col(col) if isinstance(col, str) else col
+    return F.when(c.rlike(NORMAL), c).otherwise(normal_words(c))
+
+
+def normal_words(c: Column) -> Column:
+    """``normalise_name`` for any text."""
     trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
     words = F.split(F.lower(trimmed), r"(?<![\p{L}])(?=\p{L})")
     capitals = F.transform(

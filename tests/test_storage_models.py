@@ -339,6 +339,21 @@ def test_ingest_cleans_and_shuffles_once(spark, monkeypatch):
     assert P.read_tree(spark, root).count() == 40
 
 
+def test_normal_names_are_not_taken_apart(spark):
+    import random
+
+    from pricewell.functions.names import NORMAL, normal_words, normalise_name
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("Aab B1#\t-Ééß\u2028\n ") for _ in range(rng.randrange(7))) for _ in range(4000)]
+    texts += ["Green Chilli", "Brand#2", "O'Brien Mary-Jane", "Tamil Nadu ", "Ab " * 20000 + "C", None]
+    df = spark.createDataFrame([(t,) for t in texts], "name string")
+    assert df.where(~normalise_name("name").eqNullSafe(normal_words(F.col("name")))).collect() == []
+    normal = df.where(F.col("name").rlike(NORMAL))
+    assert {"Green Chilli", "Brand#2", "O'Brien Mary-Jane"} < {r["name"] for r in normal.collect()} and normal.count() > 200
+    assert [r["n"] for r in df.where("name = 'Brand#2'").select(normalise_name("name").alias("n")).collect()] == ["Brand#2"]
+
+
 @pytest.mark.parametrize("fmt", ["json", "csv"])
 def test_raw_files_are_compressed_and_read_whole(spark, monkeypatch, fmt):
     from checks import storage as checked
