@@ -110,6 +110,58 @@ def test_blocks_round_trip(high):
     assert np.array_equal(token_blocks.decode_blocks(b"".join(blocks), starts), ids)
 
 
+@pytest.fixture
+def word_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as source:
+        return Tokenizer.from_file(path), source.read()
+
+
+def test_word_encoder_remembers_a_fixed_number_of_bytes(word_tokenizer):
+    """Distinct words of 600 letters: 3,000 of them are within the limit as a number, but not by their bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = (" ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (100, 600))) for _ in range(30))
+    encoder = token_blocks.WordEncoder(word_tokenizer[1], 2, 1 << 20)
+    allocated = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for text in texts:
+        for ids, ends in encoder.encode([text]):
+            assert ends == [len(ids)]
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - allocated
+    tracemalloc.stop()
+    assert 1 << 18 < held < 2 << 20
+
+
+def test_word_encoder_equals_tokenizer(word_tokenizer, monkeypatch):
+    """Also where texts are cut into pieces and all words are forgotten at once."""
+    tokenizer, vocabulary = word_tokenizer
+    latin = [chr(c) for c in range(33, 0x250) if not 0x7F <= c < 0xA1]
+    odd = ["", " ", "  two  spaces ", "tab\tand\nline\r\n", "<|endoftext|>.", "a<|endoftext|>b", "end<|endoftext|>",
+           "don't! We'll.", "und&&& (pfau)*** x--y 12,5% 3rd", "e\u0301 a=\u0338 =\u0338 b\u0338.",
+           "\u0130x \u212a\u01c5. \u03a3\u03a3", "\u65e5\u672c\u8a9e",
+           " ".join(latin), " ".join(f"A{c}z" for c in latin), " ".join(f"{c}'{c}" for c in latin),
+           "word " * 200, "\u00e9" * 300]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for t in odd]
+    for piece, remember in [(1 << 20, 1 << 20), (7, 1 << 20), (100, 0), (1 << 20, 500)]:
+        monkeypatch.setattr(token_blocks, "PIECE", piece)
+        encoder, got, held = token_blocks.WordEncoder(vocabulary, 2, remember), [], []
+        for ids, ends in (run for _ in range(2) for run in encoder.encode([*odd, None])):
+            for start, end in zip([0, *ends], ends):
+                got.append(np.concatenate([*held, ids[start:end]]))
+                held = []
+            held.append(ids[ends[-1] if ends else 0 :])
+        assert not sum(map(len, held))
+        assert len(got) == 2 * len(want) + 2
+        assert all(np.array_equal(g, w) for g, w in zip(got, 2 * [*want, np.array([2])]))
+
+
 def test_token_files_give_back_every_document(frame):
     import public_tokenizers
     from tokenizers import Tokenizer
